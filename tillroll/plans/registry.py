@@ -1,73 +1,14 @@
-"""Registered queries (Spark) and their DuckDB oracles, keyed by operator id.
+"""All registered queries and oracles (importing a module registers its queries).
 
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
 fact table derived from the tables in ``sf_dir``.  Output columns are cast at
-the edge (counts → bigint, amounts → double, dates → ISO strings) so both
+the edge (counts → bigint, amounts → double, dates → ISO text) so both
 engines produce the same schema.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tillroll.plans import q_reports, q_segmentation  # noqa: F401
+from tillroll.plans.catalog import AS_OF, ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tillroll.operators import sales
-from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
-from tillroll.sources.retail import load_retail
-
-# Report date used by the registered SQL-variant queries (CURRENT_DATE in the
-# library default); a fixed literal keeps the two engines comparable.
-AS_OF = "2001-08-02"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(key: str, oracle: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return fn
-    return deco
-
-
-def _ts(c: str) -> F.Column:
-    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(c)
-
-
-# --- sources ---------------------------------------------------------------
-
-@register("src1_read_transactions", with_ctes(RETAIL_CTE, body="""
-SELECT invoice, stock_code, description, CAST(quantity AS BIGINT) AS quantity,
-       strftime(invoice_date, '%Y-%m-%d %H:%M:%S') AS invoice_date,
-       CAST(price AS DOUBLE) AS price, customer_id, country
-FROM online_retail"""))
-def q_src1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load_retail(spark, sf_dir)
-    return df.select("invoice", "stock_code", "description",
-                     F.col("quantity").cast("bigint").alias("quantity"), _ts("invoice_date"),
-                     F.col("price").cast("double").alias("price"), "customer_id", "country")
-
-
-# --- SQL script reports ----------------------------------------------------
-
-@register("agg9_geographic_analysis", with_ctes(RETAIL_CTE, body="""
-SELECT country,
-       COUNT(DISTINCT customer_id) AS customers,
-       COUNT(DISTINCT invoice) AS orders,
-       CAST(SUM(quantity * price) AS DOUBLE) AS revenue,
-       CAST(SUM(quantity * price) AS DOUBLE) / NULLIF(COUNT(DISTINCT customer_id), 0)
-         AS avg_customer_value
-FROM online_retail
-WHERE customer_id IS NOT NULL AND quantity > 0
-GROUP BY country
-ORDER BY revenue DESC"""))
-def q_agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.geographic_analysis(load_retail(spark, sf_dir))
-
-
-__all__ = ["QUERIES", "ORACLES", "AS_OF", "CLEAN_CTE"]
-FLAGSHIP = "agg9_geographic_analysis"
+FLAGSHIP = "seg1_customer_segmentation"
