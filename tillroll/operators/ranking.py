@@ -116,30 +116,42 @@ def qcut_rank_first(rank: str | Column, total: str | Column, q: int = 5) -> Colu
         F.greatest(F.lit(1), _idiv((k - 1) * q + n - 2, n - 1))).cast("int")
 
 
-def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
-                   digits: int = 9) -> DataFrame:
-    """One-row DataFrame ``e1..e{q-1}``: linear-interpolated quantiles of
-    ``value`` at j/q (pandas/NumPy 'linear', SQL ``percentile``), rounded to
-    ``digits``.  Exact at any cardinality: only the ≤ 2(q−1) rows at the
-    interpolation positions are read after one global ranking."""
-    ranked = global_rank(df.select(value, key), [value, key])
+def exact_quantiles(df: DataFrame, value: str, key: str,
+                    probs: list[tuple[int, int]], names: list[str],
+                    digits: int | None = 9) -> DataFrame:
+    """One-row DataFrame of linear-interpolated quantiles (pandas/NumPy
+    'linear', SQL ``percentile``/``quantile_cont``) of ``value``.
+
+    ``probs`` are exact fractions ``(j, q)`` = j/q, so positions are integer
+    arithmetic.  Exact at any cardinality: after one global ranking only the
+    ≤ 2·len(probs) rows at the interpolation positions are read.  NULL values
+    are ignored, as in the SQL aggregates."""
+    ranked = global_rank(df.select(value, key).filter(F.col(value).isNotNull()), [value, key])
     k, n = F.col(RANK), F.col(TOTAL)
-    los = [_idiv((n - 1) * j, F.lit(q)) for j in range(1, q)]
+    los = [_idiv((n - 1) * j, F.lit(q)) for j, q in probs]
     cond = F.lit(False)
     for lo in los:
         cond = cond | (k == lo + 1) | (k == lo + 2)
-    picked = ranked.filter(cond)
     aggs = []
-    for j, lo in enumerate(los, start=1):
-        aggs += [F.max(F.when(k == lo + 1, F.col(value))).alias(f"_lo{j}"),
-                 F.max(F.when(k == lo + 2, F.col(value))).alias(f"_hi{j}"),
-                 F.max(((n - 1) * j - lo * q) / q).alias(f"_fr{j}")]
-    one = picked.agg(*aggs)
-    return one.select(*[
-        F.round(F.col(f"_lo{j}").cast("double") + F.coalesce(F.col(f"_fr{j}"), F.lit(0.0))
-                * (F.coalesce(F.col(f"_hi{j}"), F.col(f"_lo{j}")).cast("double")
-                   - F.col(f"_lo{j}").cast("double")), digits).alias(f"e{j}")
-        for j in range(1, q)])
+    for i, ((j, q), lo) in enumerate(zip(probs, los)):
+        aggs += [F.max(F.when(k == lo + 1, F.col(value))).alias(f"_lo{i}"),
+                 F.max(F.when(k == lo + 2, F.col(value))).alias(f"_hi{i}"),
+                 F.max(((n - 1) * j - lo * q) / q).alias(f"_fr{i}")]
+    one = ranked.filter(cond).agg(*aggs)
+    outs = []
+    for i, name in enumerate(names):
+        lo_v = F.col(f"_lo{i}").cast("double")
+        hi_v = F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}")).cast("double")
+        v = lo_v + F.coalesce(F.col(f"_fr{i}"), F.lit(0.0)) * (hi_v - lo_v)
+        outs.append((F.round(v, digits) if digits is not None else v).alias(name))
+    return one.select(*outs)
+
+
+def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
+                   digits: int = 9) -> DataFrame:
+    """One-row DataFrame ``e1..e{q-1}``: the inner qcut edges j/q of ``value``."""
+    return exact_quantiles(df, value, key, [(j, q) for j in range(1, q)],
+                           [f"e{j}" for j in range(1, q)], digits)
 
 
 def bucket_by_edges(value: str | Column, q: int = 5, prefix: str = "e") -> Column:

@@ -51,14 +51,15 @@ def tier_revenue(seg: DataFrame) -> DataFrame:
 
 
 def clv_summary(seg: DataFrame) -> DataFrame:
-    """AGG12: mean / total CLV, mean annual CLV, count per tier, 2 dp."""
+    """AGG12: mean / total CLV (exact sums, unrounded), mean annual CLV (2 dp),
+    count per tier."""
     agg = seg.groupBy("CustomerTier").agg(
         F.sum(_exact("CLV")).alias("_sum"), F.count(F.lit(1)).alias("customer_count"),
         F.avg("AnnualCLV").alias("_annual"))
     return (tier_domain(seg.sparkSession).join(agg, "CustomerTier", "left").select(
         "CustomerTier", "tier_order",
-        F.round(F.col("_sum").cast("double") / F.col("customer_count"), 2).alias("avg_clv"),
-        F.round(F.col("_sum").cast("double"), 2).alias("total_clv"),
+        (F.col("_sum").cast("double") / F.col("customer_count")).alias("avg_clv"),
+        F.col("_sum").cast("double").alias("total_clv"),
         F.round("_annual", 2).alias("avg_annual_clv"),
         F.coalesce(F.col("customer_count"), F.lit(0)).alias("customer_count")))
 

@@ -138,8 +138,8 @@ def q_agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg12_clv_summary", seg_oracle("""
 SELECT t.CustomerTier, t.tier_order,
-       round(CAST(s.total AS DOUBLE) / s.customer_count, 2) AS avg_clv,
-       round(CAST(s.total AS DOUBLE), 2) AS total_clv,
+       CAST(s.total AS DOUBLE) / s.customer_count AS avg_clv,
+       CAST(s.total AS DOUBLE) AS total_clv,
        round(s.annual, 2) AS avg_annual_clv,
        COALESCE(s.customer_count, 0) AS customer_count
 FROM tiers t LEFT JOIN (
