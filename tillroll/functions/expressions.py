@@ -104,3 +104,19 @@ def clip_lower(c: str | Column, lower: float) -> Column:
 def safe_ratio(num: str | Column, den: str | Column) -> Column:
     """FN15: double ratio that is NULL (not an ANSI error) when the divisor is 0."""
     return F.try_divide(col_(num).cast("double"), col_(den).cast("double"))
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(ts: str | Column) -> Column:
+    """Wall-clock TIMESTAMP_NTZ → TIMESTAMP instant read as UTC, independent
+    of the session time zone (event-time watermarks need an instant)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), col_(ts))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(ts: str | Column) -> Column:
+    """Inverse of ``ntz_to_instant`` (UTC wall clock, session-TZ independent)."""
+    return F.timestamp_add("SECOND", F.unix_seconds(col_(ts)),
+                           F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))

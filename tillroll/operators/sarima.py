@@ -1,0 +1,148 @@
+"""Seasonal ARIMA(1,1,1)(1,1,1)_s for one short series, in NumPy.
+
+A small per-group helper for ``operators.forecast`` (each call sees one
+weekly series of a few hundred points).  Conditional sum of squares:
+
+* difference ``z = (1 − B)(1 − B^s) y``;
+* residuals ``e_t = z_t − φz_{t−1} − Φz_{t−s} + φΦz_{t−s−1}
+  − θe_{t−1} − Θe_{t−s} − θΘe_{t−s−1}`` with zero pre-sample values, the
+  first ``s + 1`` residuals dropped;
+* minimise Σe² with Levenberg–Marquardt from a few starting points;
+  no stationarity / invertibility constraint;
+* forecast by recursion with future shocks 0, then undo the differences;
+  interval half-width ``z₀.₉₇₅ · σ · √Σψ²`` from the ψ-weights of the full
+  (differenced) model, σ² = SSE / #residuals.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+Z95 = 1.959963984540054
+STARTS = ([0.0, 0.0, 0.0, 0.0], [0.2, -0.5, 0.2, -0.5], [0.5, -0.8, 0.1, -0.5],
+          [-0.3, 0.3, -0.3, 0.3], [0.8, -0.2, 0.5, -0.8])
+
+
+def difference(y: np.ndarray, s: int) -> np.ndarray:
+    d1 = y[1:] - y[:-1]
+    return d1[s:] - d1[:-s]
+
+
+def residuals(params: np.ndarray, z: np.ndarray, s: int) -> np.ndarray:
+    phi, theta, sphi, stheta = params
+    n = len(z)
+    e = np.zeros(n)
+    for t in range(n):
+        v = z[t]
+        if t >= 1:
+            v -= phi * z[t - 1] + theta * e[t - 1]
+        if t >= s:
+            v -= sphi * z[t - s] + stheta * e[t - s]
+        if t >= s + 1:
+            v += phi * sphi * z[t - s - 1]
+            v -= theta * stheta * e[t - s - 1]
+        e[t] = v
+    return e
+
+
+def _sse(params: np.ndarray, z: np.ndarray, s: int) -> float:
+    r = residuals(params, z, s)[s + 1:]
+    return float(r @ r)
+
+
+def _lm(z: np.ndarray, s: int, start, iters: int = 200) -> tuple[np.ndarray, float]:
+    p = np.asarray(start, dtype=float)
+    lam = 1e-2
+    r = residuals(p, z, s)[s + 1:]
+    cost = float(r @ r)
+    for _ in range(iters):
+        jac = np.empty((len(r), 4))
+        for k in range(4):
+            h = 1e-6 * max(1.0, abs(p[k]))
+            q = p.copy()
+            q[k] += h
+            jac[:, k] = (residuals(q, z, s)[s + 1:] - r) / h
+        jtj, jtr = jac.T @ jac, jac.T @ r
+        improved = False
+        for _ in range(20):
+            try:
+                step = np.linalg.solve(jtj + lam * np.diag(np.diag(jtj) + 1e-12), -jtr)
+            except np.linalg.LinAlgError:
+                lam *= 10
+                continue
+            q = p + step
+            rq = residuals(q, z, s)[s + 1:]
+            cq = float(rq @ rq)
+            if np.isfinite(cq) and cq < cost:
+                improved = cost - cq > 1e-12 * max(cost, 1.0)
+                p, r, cost = q, rq, cq
+                lam = max(lam / 10, 1e-12)
+                break
+            lam *= 10
+        if not improved:
+            break
+    return p, cost
+
+
+def fit(y: np.ndarray, s: int = 4) -> tuple[np.ndarray, float, np.ndarray]:
+    """Return (φ, θ, Φ, Θ), σ², and the in-sample residuals of ``z``."""
+    z = difference(np.asarray(y, dtype=float), s)
+    scale = float(np.std(z)) or 1.0
+    zs = z / scale
+    best = None
+    for start in STARTS:
+        p, c = _lm(zs, s, start)
+        if best is None or c < best[1]:
+            best = (p, c)
+    params = best[0]
+    e = residuals(params, z, s)
+    used = e[s + 1:]
+    sigma2 = float(used @ used) / max(len(used), 1)
+    return params, sigma2, e
+
+
+def _poly_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.convolve(a, b)
+
+
+def psi_weights(params: np.ndarray, s: int, h: int) -> np.ndarray:
+    """ψ_0..ψ_{h−1} of θ*(B)/φ*(B) with the differencing in φ*."""
+    phi, theta, sphi, stheta = params
+    ar = np.zeros(s + 2)
+    ar[0], ar[1], ar[s], ar[s + 1] = 1.0, -phi, -sphi, phi * sphi
+    diff1 = np.array([1.0, -1.0])
+    diffs = np.zeros(s + 1)
+    diffs[0], diffs[s] = 1.0, -1.0
+    full_ar = _poly_mul(_poly_mul(ar, diff1), diffs)
+    ma = np.zeros(s + 2)
+    ma[0], ma[1], ma[s], ma[s + 1] = 1.0, theta, stheta, theta * stheta
+    psi = np.zeros(h)
+    for j in range(h):
+        v = ma[j] if j < len(ma) else 0.0
+        for i in range(1, min(j, len(full_ar) - 1) + 1):
+            v -= full_ar[i] * psi[j - i]
+        psi[j] = v
+    return psi
+
+
+def forecast(y: np.ndarray, steps: int, s: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Point forecast and 95 % interval bounds for ``steps`` future points."""
+    y = np.asarray(y, dtype=float)
+    params, sigma2, e = fit(y, s)
+    phi, theta, sphi, stheta = params
+    z = list(difference(y, s))
+    ee = list(e) + [0.0] * steps
+    n = len(z)
+    for k in range(steps):
+        t = n + k
+        v = phi * z[t - 1] + sphi * z[t - s] - phi * sphi * z[t - s - 1]
+        v += theta * ee[t - 1] + stheta * ee[t - s] + theta * stheta * ee[t - s - 1]
+        z.append(v)
+    yy = list(y)
+    for k in range(steps):
+        t = len(yy)
+        yy.append(z[n + k] + yy[t - 1] + yy[t - s] - yy[t - s - 1])
+    point = np.array(yy[len(y):])
+    psi = psi_weights(params, s, steps)
+    half = Z95 * np.sqrt(sigma2 * np.cumsum(psi ** 2))
+    return point, point - half, point + half

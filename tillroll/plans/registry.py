@@ -8,7 +8,10 @@ engines produce the same schema.
 
 from __future__ import annotations
 
-from tillroll.plans import q_churn, q_models, q_reports, q_segmentation, q_timeseries  # noqa: F401
+from tillroll.plans import (  # noqa: F401
+    q_churn, q_exports, q_forecast, q_models, q_reports, q_segmentation, q_stretch,
+    q_timeseries,
+)
 from tillroll.plans.catalog import AS_OF, ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "seg1_customer_segmentation"
