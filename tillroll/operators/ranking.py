@@ -148,8 +148,18 @@ def exact_quantiles(df: DataFrame, value: str, key: str,
 
 
 def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
-                   digits: int = 9) -> DataFrame:
-    """One-row DataFrame ``e1..e{q-1}``: the inner qcut edges j/q of ``value``."""
+                   digits: int = 9, bounded_domain: bool = False) -> DataFrame:
+    """One-row DataFrame ``e1..e{q-1}``: the inner qcut edges j/q of ``value``.
+
+    ``bounded_domain=True`` (integer values from a small, data-size-independent
+    domain, e.g. days of recency) uses Spark's exact ``percentile`` aggregate,
+    whose value→count map is bounded by the domain; otherwise the ranking path
+    is used, which is exact at any cardinality."""
+    if bounded_domain:
+        pct = F.percentile(F.col(value), F.array(*[F.lit(j / q) for j in range(1, q)]))
+        one = df.agg(pct.alias("_e"))
+        return one.select(*[F.round(F.col("_e")[j - 1], digits).alias(f"e{j}")
+                            for j in range(1, q)])
     return exact_quantiles(df, value, key, [(j, q) for j in range(1, q)],
                            [f"e{j}" for j in range(1, q)], digits)
 
@@ -165,10 +175,10 @@ def bucket_by_edges(value: str | Column, q: int = 5, prefix: str = "e") -> Colum
 
 
 def value_quintile(df: DataFrame, value: str, key: str, out: str, q: int = 5,
-                   reverse: bool = False) -> DataFrame:
+                   reverse: bool = False, bounded_domain: bool = False) -> DataFrame:
     """WIN2/WIN3: ``qcut(value, q)`` score per row (``reverse`` gives labels
     q..1 as used for recency).  The edge row is a one-row broadcast."""
-    edges = quantile_edges(df, value, key, q)
+    edges = quantile_edges(df, value, key, q, bounded_domain=bounded_domain)
     bucket = bucket_by_edges(value, q)
     score = (F.lit(q + 1) - bucket) if reverse else bucket
     return (df.crossJoin(F.broadcast(edges)).withColumn(out, score.cast("int"))

@@ -44,7 +44,8 @@ def score_notebook(rfm: DataFrame, q: int = 5) -> DataFrame:
     """WIN2–WIN4 + FN2: R = reversed value quintile of Recency, F = quintile of
     the first-occurrence rank of Frequency (ties by CustomerID), M = value
     quintile of Monetary; RFM_Score = concatenation."""
-    scored = value_quintile(rfm, "Recency", "CustomerID", "R_Score", q, reverse=True)
+    scored = value_quintile(rfm, "Recency", "CustomerID", "R_Score", q, reverse=True,
+                            bounded_domain=True)
     scored = value_quintile(scored, "Monetary", "CustomerID", "M_Score", q)
     ranked = global_rank(scored, ["Frequency", "CustomerID"])
     scored = (ranked.withColumn("F_Score", qcut_rank_first(RANK, TOTAL, q))
@@ -84,8 +85,11 @@ SEGMENTATION_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "R_Sco
 
 
 def segment_customers(transactions: DataFrame, q: int = 5) -> DataFrame:
-    """SEG1: clean → RFM → scores → tier → customer value (all columns)."""
-    rfm = rfm_notebook(clean_transactions(transactions))
+    """SEG1: clean → RFM → scores → tier → customer value (all columns).
+
+    The customer table is read by three scoring passes and the CLV step, so
+    it is checkpointed once (lineage cut; durable if an executor is lost)."""
+    rfm = rfm_notebook(clean_transactions(transactions)).checkpoint(eager=True)
     return customer_value(assign_tiers(score_notebook(rfm, q)))
 
 
@@ -107,7 +111,7 @@ def rfm_sql(transactions: DataFrame, as_of=None) -> DataFrame:
 def ntile_scores(rfm: DataFrame, tiles: int = 5) -> DataFrame:
     """WIN1: NTILE(tiles) for recency DESC, frequency ASC, monetary ASC with
     customer_id as the deterministic tie-break, via exact global ranks."""
-    out = rfm
+    out = rfm.checkpoint(eager=True)
     for name, order in (("r_score", [F.col("recency").desc(), F.col("customer_id").asc()]),
                         ("f_score", [F.col("frequency").asc(), F.col("customer_id").asc()]),
                         ("m_score", [F.col("monetary").asc(), F.col("customer_id").asc()])):

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import churn, metrics
 from tillroll.operators.clean import clean_transactions
-from tillroll.operators.rfm import segment_customers
 from tillroll.plans.catalog import TEST_HOME, register, ts_text
-from tillroll.plans.oracles import with_ctes
-from tillroll.plans.q_segmentation import RFM_CTE, SEG_CTE
-from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE
+from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
+from tillroll.plans.q_segmentation import RFM_CTE, SEG_CTE, segmentation
 from tillroll.sources.retail import load_retail
+from tillroll.sources.tables import materialized
 
 CHURN_CTE = f"""
 cf_base AS (
@@ -74,12 +73,20 @@ def churn_oracle(body: str, extra: str | None = None, with_seg: bool = False) ->
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn.churn_features(clean_transactions(load_retail(spark, sf_dir)), home=TEST_HOME)
+    """Churn feature table, built once per session."""
+    return materialized(spark, "churn_features", sf_dir, lambda: churn.churn_features(
+        clean_transactions(load_retail(spark, sf_dir)), home=TEST_HOME))
+
+
+def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn features with the exact split columns (is_test, fold), built once."""
+    return materialized(spark, "churn_features_split", sf_dir,
+                        lambda: churn.stratified_split(features(spark, sf_dir)))
 
 
 def fixed_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features + exact split + fixed score + risk band."""
-    return churn.with_risk(churn.fixed_score(churn.stratified_split(features(spark, sf_dir))))
+    return churn.with_risk(churn.fixed_score(split_features(spark, sf_dir)))
 
 
 def fixed_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +214,7 @@ def q_ml18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = segment_customers(load_retail(spark, sf_dir))
-    return churn.join_segments(fixed_scored(spark, sf_dir), seg)
+    return churn.join_segments(fixed_scored(spark, sf_dir), segmentation(spark, sf_dir))
 
 
 _MERGED = """

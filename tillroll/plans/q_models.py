@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import churn, models
 from tillroll.plans.catalog import register
-from tillroll.plans.q_churn import features
+from tillroll.plans.q_churn import split_features
 from tillroll.session import scratch_path
 
 
 def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features → exact split (is_test, fold) → assembled vector + label."""
-    return churn.feature_matrix(churn.stratified_split(features(spark, sf_dir)))
+    return churn.feature_matrix(split_features(spark, sf_dir))
 
 
 _FITTED: dict[tuple[int, str, str], object] = {}

@@ -11,6 +11,7 @@ from tillroll.operators.clean import clean_transactions, rows_in
 from tillroll.plans.catalog import register
 from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
 from tillroll.sources.retail import load_retail
+from tillroll.sources.tables import materialized
 
 # DuckDB rendition of the notebook segmentation (pandas qcut semantics).
 RFM_CTE = """
@@ -80,7 +81,10 @@ def seg_oracle(body: str) -> str:
 
 
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rfm.segment_customers(load_retail(spark, sf_dir))
+    """The customer segmentation table (SEG1 output), built once per session;
+    the summaries below read it like the reference's reports read the export."""
+    return materialized(spark, "customer_segmentation", sf_dir,
+                        lambda: rfm.segment_customers(load_retail(spark, sf_dir)))
 
 
 @register("agg1_rfm_metrics", with_ctes(RETAIL_CTE, CLEAN_CTE, RFM_CTE, body="""

@@ -14,18 +14,24 @@ from tillroll.plans.catalog import date_text, register, ts_text
 from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
 from tillroll.plans.q_segmentation import RFM_CTE
 from tillroll.sources.retail import load_retail
+from tillroll.sources.tables import materialized
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_transactions(load_retail(spark, sf_dir))
 
 
-def weekly_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.weekly_sales(_clean(spark, sf_dir), by="country", with_total=True)
+def weekly_exact_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly series per country plus the total, revenue as exact decimal;
+    built once per session (the series operators all read it)."""
+    return materialized(spark, "weekly_by_country", sf_dir, lambda: ts.weekly_revenue_exact(
+        _clean(spark, sf_dir), by="country", with_total=True))
 
 
-def weekly_exact_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.weekly_revenue_exact(_clean(spark, sf_dir), by="country", with_total=True)
+def weekly_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same series with revenue as double (AGG6 output types)."""
+    return weekly_exact_by_country(spark, sf_dir).withColumn(
+        "Revenue", F.col("Revenue").cast("double"))
 
 
 # --- profiling ----------------------------------------------------------------

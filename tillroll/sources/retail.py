@@ -10,17 +10,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import scratch_path
 from tillroll.sources.schema import RAW_COLUMN_NAMES, RETAIL_SCHEMA, SEGMENTATION_SCHEMA
-
-_CURATED: dict[tuple[int, str], str] = {}
-
+from tillroll.sources.tables import materialized
 
 def _conform(df: DataFrame) -> DataFrame:
     renamed = df
@@ -93,20 +87,15 @@ def load_retail(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     """The curated fact table for ``sf_dir``.
 
     The adapter join runs once per session and is written as Parquet to the
-    shared scratch folder (sorted by invoice date so row-group statistics
-    prune date ranges); afterwards every report is a pruned Parquet scan.
+    shared scratch folder (sorted by invoice date within files, so row-group
+    statistics prune date ranges); afterwards every report is a pruned
+    Parquet scan with the declared schema.
     """
     if not materialize:
         return tpch_retail_view(spark, sf_dir)
-    key = (id(spark.sparkContext), os.path.abspath(sf_dir))
-    if key not in _CURATED:
-        digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        path = scratch_path(spark, "online_retail", digest)
-        (tpch_retail_view(spark, sf_dir)
-         .sortWithinPartitions("invoice_date")
-         .write.mode("overwrite").parquet(path))
-        _CURATED[key] = path
-    return spark.read.schema(RETAIL_SCHEMA).parquet(_CURATED[key])
+    table = materialized(spark, "online_retail", sf_dir, lambda: tpch_retail_view(
+        spark, sf_dir).sortWithinPartitions("invoice_date"))
+    return table.select([F.col(f.name).cast(f.dataType) for f in RETAIL_SCHEMA.fields])
 
 
 def register_retail(spark: SparkSession, sf_dir: str, name: str = "online_retail") -> DataFrame:
