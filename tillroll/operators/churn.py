@@ -26,13 +26,25 @@ CHURN_EXPORT_COLUMNS = ["CustomerID", "Recency", "Frequency", "TotalSpend", "Chu
 # -----------------------------------------------------------------------------
 
 
+def first_country(clean: DataFrame) -> DataFrame:
+    """Country of each customer's earliest line — a deterministic stand-in for
+    pandas 'first' (ties on the timestamp broken by country name).
+
+    Lines are first reduced to (customer, country) pairs with a hash
+    aggregate; only that customer-grain table goes through ``min_by`` (whose
+    string buffer would force a sort-based aggregate over every line)."""
+    pairs = clean.groupBy("customer_id", "country").agg(F.min("invoice_date").alias("_ts"))
+    return pairs.groupBy("customer_id").agg(
+        F.min_by("country", F.struct("_ts", "country")).alias("Country"))
+
+
 def churn_features(clean: DataFrame, home: str = HOME_COUNTRY,
                    threshold: int = CHURN_THRESHOLD_DAYS) -> DataFrame:
     """AGG3 + ML1 + ML2: one row per customer with the reference's features.
 
-    ``Country`` is the country of the customer's earliest line (ties broken by
-    invoice and product) — a deterministic stand-in for pandas 'first'.
-    """
+    One hash aggregation over the lines (two exact distinct counts via
+    Catalyst's Expand), the country pick on pre-aggregated pairs, a
+    checkpoint of the customer table, and the reference date from it."""
     amount = F.col("amount").cast("double")
     per = clean.groupBy("customer_id").agg(
         F.min("invoice_date").alias("FirstPurchase"),
@@ -42,8 +54,8 @@ def churn_features(clean: DataFrame, home: str = HOME_COUNTRY,
         F.count("amount").alias("_lines"),
         F.stddev_samp(amount).alias("_std"),
         F.sum("quantity").cast("bigint").alias("TotalQuantity"),
-        F.countDistinct("stock_code").alias("UniqueProducts"),
-        F.min_by("country", F.struct("invoice_date", "invoice", "stock_code")).alias("Country"))
+        F.countDistinct("stock_code").alias("UniqueProducts"))
+    per = per.join(first_country(clean), "customer_id").checkpoint(eager=True)
     ref = reference_date(per, "LastPurchase")
     out = per.crossJoin(F.broadcast(ref)).select(
         F.col("customer_id").alias("CustomerID"), "FirstPurchase", "LastPurchase",

@@ -22,7 +22,7 @@ cf_base AS (
          SUM(amount) AS spend, COUNT(amount) AS lines,
          STDDEV_SAMP(CAST(amount AS DOUBLE)) AS std, CAST(SUM(quantity) AS BIGINT) AS TotalQuantity,
          COUNT(DISTINCT stock_code) AS UniqueProducts,
-         first(country ORDER BY invoice_date, invoice, stock_code) AS Country
+         first(country ORDER BY invoice_date, country) AS Country
   FROM clean GROUP BY customer_id
 ),
 cref AS (SELECT MAX(LastPurchase) + INTERVAL 1 DAY AS ref_ts FROM cf_base),
