@@ -29,25 +29,21 @@ def difference(y: np.ndarray, s: int) -> np.ndarray:
 
 
 def residuals(params: np.ndarray, z: np.ndarray, s: int) -> np.ndarray:
-    phi, theta, sphi, stheta = params
-    n = len(z)
-    e = np.zeros(n)
+    phi, theta, sphi, stheta = (float(v) for v in params)
+    pp, tt = phi * sphi, theta * stheta
+    zl = z.tolist() if isinstance(z, np.ndarray) else list(z)
+    n = len(zl)
+    e = [0.0] * n
     for t in range(n):
-        v = z[t]
+        v = zl[t]
         if t >= 1:
-            v -= phi * z[t - 1] + theta * e[t - 1]
-        if t >= s:
-            v -= sphi * z[t - s] + stheta * e[t - s]
-        if t >= s + 1:
-            v += phi * sphi * z[t - s - 1]
-            v -= theta * stheta * e[t - s - 1]
+            v -= phi * zl[t - 1] + theta * e[t - 1]
+            if t >= s:
+                v -= sphi * zl[t - s] + stheta * e[t - s]
+                if t > s:
+                    v += pp * zl[t - s - 1] - tt * e[t - s - 1]
         e[t] = v
-    return e
-
-
-def _sse(params: np.ndarray, z: np.ndarray, s: int) -> float:
-    r = residuals(params, z, s)[s + 1:]
-    return float(r @ r)
+    return np.asarray(e)
 
 
 def _lm(z: np.ndarray, s: int, start, iters: int = 200) -> tuple[np.ndarray, float]:

@@ -10,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.operators import forecast
 from tillroll.plans.catalog import date_text, register
 from tillroll.plans.q_timeseries import weekly_by_country
+from tillroll.sources.tables import materialized
+
+
+def forecast_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12-week forecast table of every series, fitted once per session."""
+    return materialized(spark, "revenue_forecast", sf_dir,
+                        lambda: forecast.forecast_table(weekly_by_country(spark, sf_dir)))
 
 
 @register("ts10_revenue_forecast")
 def q_ts10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = forecast.forecast_table(weekly_by_country(spark, sf_dir))
+    t = forecast_by_country(spark, sf_dir)
     return t.select("series_key", "Week", date_text("Date"), "Forecast", "Lower_CI", "Upper_CI")
 
 
 @register("agg17_forecast_summary")
 def q_agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.forecast_summary(forecast.forecast_table(weekly_by_country(spark, sf_dir)))
+    return forecast.forecast_summary(forecast_by_country(spark, sf_dir))
 
 
 @register("ts6_holdout_accuracy")
