@@ -87,14 +87,13 @@ def load_retail(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     """The curated fact table for ``sf_dir``.
 
     The adapter join runs once per session and is written as Parquet to the
-    shared scratch folder (sorted by invoice date within files, so row-group
-    statistics prune date ranges); afterwards every report is a pruned
-    Parquet scan with the declared schema.
+    shared scratch folder; afterwards every report is a Parquet scan with
+    pushed filters and a pruned read schema.
     """
     if not materialize:
         return tpch_retail_view(spark, sf_dir)
-    table = materialized(spark, "online_retail", sf_dir, lambda: tpch_retail_view(
-        spark, sf_dir).sortWithinPartitions("invoice_date"))
+    table = materialized(spark, "online_retail", sf_dir,
+                         lambda: tpch_retail_view(spark, sf_dir))
     return table.select([F.col(f.name).cast(f.dataType) for f in RETAIL_SCHEMA.fields])
 
 
