@@ -1,0 +1,55 @@
+"""The six SQL feature queries (Spark SQL text, plain windows) agree with the
+scalable DataFrame operators; the plain-window statement is the oracle of
+the range-partitioned ranking."""
+
+import pytest
+
+from tillroll.operators import rfm, sales
+from tillroll.plans.feature_queries import run_feature_query
+from tillroll.sources.retail import register_retail
+
+AS_OF = "2001-08-02"
+
+
+def _same(a, b, cols):
+    pa = a.select(*cols).toPandas().sort_values(cols[0]).reset_index(drop=True)
+    pb = b.select(*cols).toPandas().sort_values(cols[0]).reset_index(drop=True)
+    assert pa.equals(pb)
+
+
+@pytest.fixture(scope="module")
+def retail(spark, sf_small):
+    return register_retail(spark, sf_small, "online_retail")
+
+
+def test_rfm_scores_sql_text_equals_scalable(spark, retail):
+    text = run_feature_query(spark, "rfm_scores", AS_OF)
+    scalable = rfm.customer_rfm_scored(retail, AS_OF)
+    _same(text, scalable, ["customer_id", "recency", "frequency", "monetary", "r_score",
+                           "f_score", "m_score"])
+
+
+def test_customer_tiers_chain(spark, retail):
+    rfm.customer_rfm_scored(retail, AS_OF).createOrReplaceTempView("customer_rfm_scored")
+    text = run_feature_query(spark, "customer_tiers")
+    api = rfm.tiers_sql(rfm.customer_rfm_scored(retail, AS_OF))
+    _same(text, api, ["customer_id", "customer_tier"])
+
+
+@pytest.mark.parametrize("name,fn,cols", [
+    ("churn_indicators", lambda df: sales.churn_indicators_sql(df, AS_OF),
+     ["customer_id", "days_since_purchase", "is_churned", "total_orders", "lifetime_value"]),
+    ("weekly_sales", sales.weekly_sales_sql,
+     ["week_start", "revenue", "transactions", "unique_customers", "avg_order_value"]),
+    ("product_performance", sales.product_performance,
+     ["stock_code", "description", "order_count", "units_sold", "revenue", "unique_buyers"]),
+    ("geographic_analysis", sales.geographic_analysis,
+     ["country", "customers", "orders", "revenue", "avg_customer_value"]),
+])
+def test_sql_text_equals_dataframe_api(spark, retail, name, fn, cols):
+    _same(run_feature_query(spark, name, AS_OF), fn(retail), cols)
+
+
+def test_current_date_default(spark, retail):
+    row = run_feature_query(spark, "churn_indicators").agg({"days_since_purchase": "min"}).first()
+    assert row[0] > 0

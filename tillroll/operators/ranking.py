@@ -32,8 +32,14 @@ def _sort_cols(order: list[str | Column]) -> list[Column]:
     return [F.col(c).asc() if isinstance(c, str) else c for c in order]
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range exchange on ``order``.  Without an explicit count the exchange
+    uses the session's shuffle partitions and AQE may coalesce small ones;
+    partition ids are read after the exchange and frozen by the checkpoint,
+    so coalescing never changes the result."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *order)
+    return df.repartitionByRange(*order)
 
 
 def global_rank(df: DataFrame, order: list[str | Column], rank_col: str = RANK,
@@ -45,9 +51,8 @@ def global_rank(df: DataFrame, order: list[str | Column], rank_col: str = RANK,
     """
     scratch_dir(df.sparkSession)  # make sure a checkpoint dir is configured
     order = _sort_cols(order)
-    n_parts = num_partitions or _partitions(df)
     pid = F.spark_partition_id().cast("bigint")
-    local = (df.repartitionByRange(n_parts, *order)
+    local = (_range(df, order, num_partitions)
              .sortWithinPartitions(*order)
              .withColumn("_pid", pid)
              .withColumn("_lix", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
@@ -70,8 +75,7 @@ def global_cumsum(df: DataFrame, order: list[str | Column], sums: dict[str, str]
     in-partition running sum is a window over the partition id."""
     scratch_dir(df.sparkSession)
     order = _sort_cols(order)
-    n_parts = num_partitions or _partitions(df)
-    local = (df.repartitionByRange(n_parts, *order)
+    local = (_range(df, order, num_partitions)
              .withColumn("_pid", F.spark_partition_id().cast("bigint"))
              .checkpoint(eager=True))
     run = Window.partitionBy("_pid").orderBy(*order).rowsBetween(

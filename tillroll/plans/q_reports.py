@@ -20,13 +20,14 @@ def _retail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("src1_read_transactions", with_ctes(RETAIL_CTE, body="""
 SELECT invoice, stock_code, description, CAST(quantity AS BIGINT) AS quantity,
        strftime(invoice_date, '%Y-%m-%d %H:%M:%S') AS invoice_date,
-       CAST(price AS DOUBLE) AS price, customer_id, country
+       CAST(price AS DOUBLE) AS price, CAST(customer_id AS VARCHAR) AS customer_id, country
 FROM online_retail"""))
 def q_src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _retail(spark, sf_dir)
     return df.select("invoice", "stock_code", "description",
                      F.col("quantity").cast("bigint").alias("quantity"), ts_text("invoice_date"),
-                     F.col("price").cast("double").alias("price"), "customer_id", "country")
+                     F.col("price").cast("double").alias("price"),
+                     F.col("customer_id").cast("string").alias("customer_id"), "country")
 
 
 @register("src3_table_scan_sql", with_ctes(RETAIL_CTE, body="""
@@ -39,7 +40,7 @@ def q_src3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("src4_preview", with_ctes(RETAIL_CTE, body="""
 SELECT invoice, stock_code, description, CAST(quantity AS BIGINT) AS quantity,
        strftime(invoice_date, '%Y-%m-%d %H:%M:%S') AS invoice_date,
-       CAST(price AS DOUBLE) AS price, customer_id, country
+       CAST(price AS DOUBLE) AS price, CAST(customer_id AS VARCHAR) AS customer_id, country
 FROM online_retail
 ORDER BY invoice_date, invoice, stock_code, quantity, price, description
 LIMIT 10"""))
@@ -49,7 +50,8 @@ def q_src4(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.asc_nulls_last("description")])
     return top.select("invoice", "stock_code", "description",
                       F.col("quantity").cast("bigint").alias("quantity"), ts_text("invoice_date"),
-                      F.col("price").cast("double").alias("price"), "customer_id", "country")
+                      F.col("price").cast("double").alias("price"),
+                     F.col("customer_id").cast("string").alias("customer_id"), "country")
 
 
 # --- query 1 / 2: SQL RFM, NTILE scores, tiers ------------------------------
