@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import churn, models
+from tillroll.operators import churn, metrics, models
 from tillroll.plans.catalog import register
 from tillroll.plans.q_churn import split_features
 from tillroll.session import scratch_path
@@ -70,3 +70,38 @@ def q_snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CustomerID", "p_loaded")
     return a.join(b, "CustomerID").withColumn(
         "same_as_fitted", (F.col("p_fitted") == F.col("p_loaded")).cast("int"))
+
+
+def boosted_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML9: label, predicted class and P(churn) of the boosted trees on the
+    test rows."""
+    matrix = model_matrix(spark, sf_dir)
+    pred = boosted_model(spark, sf_dir, matrix).transform(matrix.filter(F.col("is_test") == 1))
+    return models.probability_of_churn(pred, "score").select(
+        F.col("CustomerID").alias("id"), F.col("label").cast("int").alias("label"),
+        F.col("prediction").cast("int").alias("prediction"), "score")
+
+
+@register("ml9_test_predictions_boosted")
+def q_ml9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_test_predictions(spark, sf_dir)
+
+
+@register("ml10_test_auc_boosted")
+def q_ml10_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.auc(boosted_test_predictions(spark, sf_dir), "label", "score", "id")
+
+
+@register("ml13_classification_report_boosted")
+def q_ml13_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.classification_report(boosted_test_predictions(spark, sf_dir))
+
+
+@register("ml14_confusion_matrix_boosted")
+def q_ml14_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion_matrix(boosted_test_predictions(spark, sf_dir))
+
+
+@register("ml15_roc_curve_boosted")
+def q_ml15_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.roc_curve(boosted_test_predictions(spark, sf_dir), "label", "score")
