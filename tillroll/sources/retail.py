@@ -12,17 +12,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.sources.schema import RAW_COLUMN_NAMES, RETAIL_SCHEMA, SEGMENTATION_SCHEMA
 from tillroll.sources.tables import materialized
 
-def _conform(df: DataFrame) -> DataFrame:
+def _conform(df: DataFrame, text: bool = False) -> DataFrame:
+    """Rename workbook columns and cast to the declared schema.  From text,
+    integral columns go through an exact decimal first: the workbook stores
+    customer ids as floats (blank cells), so exports carry '14527.0'."""
     renamed = df
     for raw, name in RAW_COLUMN_NAMES.items():
         if raw in renamed.columns:
             renamed = renamed.withColumnRenamed(raw, name)
-    return renamed.select([F.col(f.name).cast(f.dataType).alias(f.name)
-                           for f in RETAIL_SCHEMA.fields])
+    cols = []
+    for f in RETAIL_SCHEMA.fields:
+        c = F.col(f.name)
+        if text and isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            c = c.cast("decimal(38,6)")
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return renamed.select(cols)
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -30,7 +39,7 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     if fmt == "csv":
         raw = (spark.read.option("header", True).option("inferSchema", False)
                .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
-        return _conform(raw)
+        return _conform(raw, text=True)
     return _conform(spark.read.parquet(path))
 
 
