@@ -68,15 +68,6 @@ def tier(r: str | Column, f: str | Column, m: str | Column) -> Column:
             .otherwise(F.lit(TIER_ORDER[3])))
 
 
-def tier_rank(tier_col: str | Column) -> Column:
-    """Sort key of a tier label in report order (VVIC first)."""
-    c = col_(tier_col)
-    expr = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(TIER_ORDER))):
-        expr = F.when(c == name, F.lit(i)).otherwise(expr)
-    return expr
-
-
 def churn_flag(recency: str | Column, threshold: int = CHURN_THRESHOLD_DAYS) -> Column:
     """FN4 / ML2: 1 when inactive for more than ``threshold`` days."""
     return (col_(recency) > F.lit(threshold)).cast("int")
