@@ -53,10 +53,13 @@ def cleaning_funnel(df: DataFrame) -> DataFrame:
 _STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-def describe(df: DataFrame, columns: list[str], key: str, digits: int = 2) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], key: str, digits: int = 2,
+             bounded: tuple[str, ...] = ()) -> DataFrame:
     """PRF4: pandas-style ``describe().round(2)`` with *exact* quartiles
     (linear interpolation; ``DataFrame.summary`` would give approximate ones).
-    Long table: statistic, then one double column per input column."""
+    Columns named in ``bounded`` (integers from a small domain) use Spark's
+    exact ``percentile``; the others the ranking path, exact at any
+    cardinality.  Long table: statistic, then one double column per column."""
     per_col = []
     for c in columns:
         basic = df.agg(F.count(c).cast("double").alias("count"),
@@ -64,8 +67,13 @@ def describe(df: DataFrame, columns: list[str], key: str, digits: int = 2) -> Da
                        F.stddev_samp(F.col(c).cast("double")).alias("std"),
                        F.min(c).cast("double").alias("min"),
                        F.max(c).cast("double").alias("max"))
-        quart = exact_quantiles(df, c, key, [(1, 4), (1, 2), (3, 4)], ["25%", "50%", "75%"],
-                                digits=None)
+        if c in bounded:
+            pct = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            quart = df.agg(pct.alias("_q")).select(*[
+                F.col("_q")[i].alias(n) for i, n in enumerate(["25%", "50%", "75%"])])
+        else:
+            quart = exact_quantiles(df, c, key, [(1, 4), (1, 2), (3, 4)],
+                                    ["25%", "50%", "75%"], digits=None)
         row = basic.crossJoin(quart)
         stacked = row.select(F.explode(F.array(*[
             F.struct(F.lit(i).alias("stat_order"), F.lit(s).alias("statistic"),

@@ -98,7 +98,8 @@ FROM ({_describe_sql('Recency')}) r
 JOIN ({_describe_sql('Frequency')}) f USING (stat_order, statistic)"""))
 def q_prf4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rfm = rfm_notebook(_clean(spark, sf_dir))
-    return profile.describe(rfm, ["Recency", "Frequency"], "CustomerID")
+    return profile.describe(rfm, ["Recency", "Frequency"], "CustomerID",
+                            bounded=("Recency", "Frequency"))
 
 
 # --- series ---------------------------------------------------------------------
