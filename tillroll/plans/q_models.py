@@ -18,13 +18,13 @@ def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.feature_matrix(split_features(spark, sf_dir))
 
 
-_FITTED: dict[tuple[int, str, str], object] = {}
+_FITTED: dict[tuple[str, str, str], object] = {}
 
 
 def fitted_model(spark: SparkSession, sf_dir: str, name: str, matrix: DataFrame):
     """Fit a model on the training rows once per session and dataset; the
     importance, scoring, persistence and leaderboard queries share it."""
-    key = (id(spark.sparkContext), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FITTED:
         _FITTED[key] = models.fit(name, matrix.filter(F.col("is_test") == 0))
     return _FITTED[key]

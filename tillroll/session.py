@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_SCRATCH: dict[int, str] = {}
+_LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -55,7 +55,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir().rstrip("/")
-    key = id(sc)
+    key = sc.applicationId
     if key not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[key] = tempfile.mkdtemp(prefix="tillroll-scratch-")
         sc.setCheckpointDir(_LOCAL_SCRATCH[key])

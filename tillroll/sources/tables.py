@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.session import scratch_path
 
-_TABLES: dict[tuple[int, str, str], str] = {}
+_TABLES: dict[tuple[str, str, str], str] = {}
 
 
 def materialized(spark: SparkSession, name: str, source: str,
@@ -25,7 +25,7 @@ def materialized(spark: SparkSession, name: str, source: str,
     """``build()`` written to ``<scratch>/tillroll/tables/<name>/<source hash>``
     on first use in this session; later calls read the written table."""
     src = os.path.abspath(source)
-    key = (id(spark.sparkContext), name, src)
+    key = (spark.sparkContext.applicationId, name, src)
     if key not in _TABLES:
         digest = hashlib.sha1(src.encode()).hexdigest()[:12]
         path = scratch_path(spark, "tables", name, digest)
