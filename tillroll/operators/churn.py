@@ -57,9 +57,9 @@ def churn_features(clean: DataFrame, home: str = HOME_COUNTRY,
         F.countDistinct("stock_code").alias("UniqueProducts"))
     per = per.join(first_country(clean), "customer_id").checkpoint(eager=True)
     ref = reference_date(per, "LastPurchase")
-    out = per.crossJoin(F.broadcast(ref)).select(
+    out = per.select(
         F.col("customer_id").alias("CustomerID"), "FirstPurchase", "LastPurchase",
-        floor_days("LastPurchase", "ref_ts").cast("bigint").alias("Recency"),
+        floor_days("LastPurchase", ref).cast("bigint").alias("Recency"),
         "Frequency",
         F.col("_spend").cast("double").alias("TotalSpend"),
         (F.col("_spend").cast("double") / F.col("_lines")).alias("AvgOrderValue"),

@@ -55,10 +55,11 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
         F.sum((1 - F.col(label).cast("bigint"))).alias("_neg"))
     cum = global_cumsum(hist, [F.col(score).desc()], {"tps": "_pos", "fps": "_neg"})
     totals = hist.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    pts = cum.crossJoin(F.broadcast(totals)).select(
+    tot = totals.select(F.struct("_P", "_N")).scalar()
+    pts = cum.select(
         F.col(score).cast("double").alias("threshold"), "fps", "tps",
-        F.try_divide(F.col("fps").cast("double"), F.col("_N").cast("double")).alias("fpr"),
-        F.try_divide(F.col("tps").cast("double"), F.col("_P").cast("double")).alias("tpr"))
+        F.try_divide(F.col("fps").cast("double"), tot["_N"].cast("double")).alias("fpr"),
+        F.try_divide(F.col("tps").cast("double"), tot["_P"].cast("double")).alias("tpr"))
     origin = totals.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint")
                            .alias("fps"), F.lit(0).cast("bigint").alias("tps"),
                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -99,7 +100,9 @@ def classification_report(pred: DataFrame, label: str = "label",
     exprs = {}
     for k, name, prec, rec, sup in rows:
         exprs[f"p{k}"], exprs[f"r{k}"], exprs[f"s{k}"] = prec, rec, sup
-    wide = c.select(*[v.alias(k) for k, v in exprs.items()])
+    acc = _div0(F.col("c00") + F.col("c11"),
+                F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11"))
+    wide = c.select(*[v.alias(k) for k, v in exprs.items()], acc.alias("_acc"))
     f1 = {k: _div0(2 * F.col(f"p{k}") * F.col(f"r{k}"), F.col(f"p{k}") + F.col(f"r{k}"))
           for k in (0, 1)}
     wide = wide.withColumn("f0", f1[0]).withColumn("f1", f1[1])
@@ -126,10 +129,7 @@ def classification_report(pred: DataFrame, label: str = "label",
                  _div0(F.col("f0") * F.col("s0") + F.col("f1") * F.col("s1"), n).alias("f1_score"),
                  n.cast("bigint").alias("support")),
     ]
-    with_acc = wide.crossJoin(c.select(_div0(F.col("c00") + F.col("c11"),
-                                             F.col("c00") + F.col("c01") + F.col("c10")
-                                             + F.col("c11")).alias("_acc")))
-    return with_acc.select(F.explode(F.array(*out)).alias("r")).select("r.*")
+    return wide.select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
 def risk_distribution(scored: DataFrame, risk: str = "ChurnRisk") -> DataFrame:

@@ -124,9 +124,8 @@ def leaderboard(matrix: DataFrame, models: list[str] = MODEL_NAMES, folds: int =
         rows.append((name, float(score), mean, std))
     board = spark.createDataFrame(rows, "model string, test_auc double, cv_mean double, "
                                         "cv_std double")
-    best = board.agg(F.max_by("model", "test_auc").alias("_best"))
-    return board.crossJoin(best).withColumn("is_best", (F.col("model") == F.col("_best"))
-                                            .cast("int")).drop("_best")
+    best = board.agg(F.max_by("model", "test_auc")).scalar()
+    return board.withColumn("is_best", (F.col("model") == best).cast("int"))
 
 
 def feature_importances(model: PipelineModel, columns: list[str] = FEATURE_COLUMNS,

@@ -74,7 +74,8 @@ def describe(df: DataFrame, columns: list[str], key: str, digits: int = 2,
         else:
             quart = exact_quantiles(df, c, key, [(1, 4), (1, 2), (3, 4)],
                                     ["25%", "50%", "75%"], digits=None)
-        row = basic.crossJoin(quart)
+        q = quart.select(F.struct("25%", "50%", "75%")).scalar()
+        row = basic.select("*", *[q[n].alias(n) for n in ("25%", "50%", "75%")])
         stacked = row.select(F.explode(F.array(*[
             F.struct(F.lit(i).alias("stat_order"), F.lit(s).alias("statistic"),
                      F.round(F.col(f"`{s}`"), digits).alias("value"))

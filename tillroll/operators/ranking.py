@@ -168,22 +168,22 @@ def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
                            [f"e{j}" for j in range(1, q)], digits)
 
 
-def bucket_by_edges(value: str | Column, q: int = 5, prefix: str = "e") -> Column:
-    """qcut bucket (1-based, right-closed bins) given edge columns e1..e{q-1}:
-    ``1 + #{j : value > e_j}``."""
+def bucket_by_edges(value: str | Column, edges: Column, q: int = 5) -> Column:
+    """qcut bucket (1-based, right-closed bins) given a struct of edges
+    e1..e{q-1}: ``1 + #{j : value > e_j}``."""
     v = F.col(value) if isinstance(value, str) else value
     b = F.lit(1)
     for j in range(1, q):
-        b = b + (v.cast("double") > F.col(f"{prefix}{j}")).cast("int")
+        b = b + (v.cast("double") > edges[f"e{j}"]).cast("int")
     return b.cast("int")
 
 
 def value_quintile(df: DataFrame, value: str, key: str, out: str, q: int = 5,
                    reverse: bool = False, bounded_domain: bool = False) -> DataFrame:
     """WIN2/WIN3: ``qcut(value, q)`` score per row (``reverse`` gives labels
-    q..1 as used for recency).  The edge row is a one-row broadcast."""
+    q..1 as used for recency).  The edges enter as one scalar subquery."""
     edges = quantile_edges(df, value, key, q, bounded_domain=bounded_domain)
-    bucket = bucket_by_edges(value, q)
+    edge_struct = edges.select(F.struct(*[f"e{j}" for j in range(1, q)])).scalar()
+    bucket = bucket_by_edges(value, edge_struct, q)
     score = (F.lit(q + 1) - bucket) if reverse else bucket
-    return (df.crossJoin(F.broadcast(edges)).withColumn(out, score.cast("int"))
-            .drop(*[f"e{j}" for j in range(1, q)]))
+    return df.withColumn(out, score.cast("int"))

@@ -30,12 +30,11 @@ def distribution(df: DataFrame, column: str, domain: DataFrame) -> DataFrame:
     """AGG10: count and percentage share per category, zero-filled over a fixed
     domain (``domain`` has ``column`` plus an order column)."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("customers"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (domain.join(counts, column, "left").crossJoin(F.broadcast(total))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (domain.join(counts, column, "left")
             .select(*domain.columns,
                     F.coalesce(F.col("customers"), F.lit(0)).alias("customers"),
-                    (F.coalesce(F.col("customers"), F.lit(0)) * 100.0
-                     / F.col("_total")).alias("pct")))
+                    (F.coalesce(F.col("customers"), F.lit(0)) * 100.0 / total).alias("pct")))
 
 
 def tier_distribution(seg: DataFrame) -> DataFrame:

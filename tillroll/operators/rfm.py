@@ -2,12 +2,12 @@
 FN2, FN3, CLV1–CLV4, SEG1, SEG2).
 
 Scalars the notebook pulls to the driver (reference date, maximum recency)
-stay one-row DataFrames joined by broadcast.
+stay inside the plan as scalar subqueries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import (
@@ -20,9 +20,10 @@ from tillroll.operators.ranking import (
 from tillroll.operators.sales import as_of_date
 
 
-def reference_date(customers: DataFrame, last_col: str = "_last") -> DataFrame:
-    """T1: one-row frame ``ref_ts`` = latest purchase + 1 day."""
-    return customers.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("ref_ts"))
+def reference_date(customers: DataFrame, last_col: str = "_last") -> Column:
+    """T1: latest purchase + 1 day, as a scalar subquery (evaluated once,
+    inlined as a value — no join, nothing collected)."""
+    return customers.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("ref_ts")).scalar()
 
 
 def rfm_notebook(clean: DataFrame) -> DataFrame:
@@ -37,9 +38,9 @@ def rfm_notebook(clean: DataFrame) -> DataFrame:
         F.countDistinct("invoice").alias("Frequency"),
         F.sum("amount").alias("_money")).checkpoint(eager=True)
     ref = reference_date(per_cust)
-    return per_cust.crossJoin(F.broadcast(ref)).select(
+    return per_cust.select(
         F.col("customer_id").alias("CustomerID"),
-        floor_days("_last", "ref_ts").cast("bigint").alias("Recency"),
+        floor_days("_last", ref).cast("bigint").alias("Recency"),
         F.col("Frequency"),
         F.col("_money").cast("double").alias("Monetary"))
 
@@ -66,11 +67,11 @@ def assign_tiers(scored: DataFrame, r: str = "R_Score", f: str = "F_Score",
 
 
 def customer_value(rfm: DataFrame) -> DataFrame:
-    """CLV1–CLV4: AvgOrderValue, ActiveDays (max recency − recency, max as a
-    broadcast one-row frame), EstimatedLifespan (years, ≥0.1), CLV (=Monetary),
+    """CLV1–CLV4: AvgOrderValue, ActiveDays (max recency − recency, the max as
+    a scalar subquery), EstimatedLifespan (years, ≥0.1), CLV (=Monetary),
     AnnualCLV = AOV × Frequency / max(lifespan, 0.5)."""
-    max_rec = rfm.agg(F.max("Recency").alias("_max_recency"))
-    with_max = rfm.crossJoin(F.broadcast(max_rec))
+    max_rec = rfm.agg(F.max("Recency")).scalar()
+    with_max = rfm.withColumn("_max_recency", max_rec)
     aov = F.col("Monetary") / F.col("Frequency").cast("double")
     active = F.col("_max_recency") - F.col("Recency")
     lifespan = clip_lower(active / F.lit(365.0), 0.1)
