@@ -132,8 +132,8 @@ def feature_importances(model: PipelineModel, columns: list[str] = FEATURE_COLUM
                         top: int | None = 5) -> DataFrame:
     """ML16 + SRT4: normalised importances of the tree model, descending."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = SparkSession.getActiveSession().createDataFrame(list(zip(columns, [float(v) for v in imp])),
-                                 "Feature string, Importance double")
+    df = SparkSession.getActiveSession().createDataFrame(
+        list(zip(columns, [float(v) for v in imp])), "Feature string, Importance double")
     ordered = df.orderBy(F.desc("Importance"), "Feature")
     return ordered.limit(top) if top else ordered
 

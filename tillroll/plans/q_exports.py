@@ -4,6 +4,8 @@ declared schema and returns what a downstream job would read."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def q_snk1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1 → SRC2: the 11-column segmentation export as CSV with a header,
     read back with the declared schema (the churn job's hand-off)."""
     seg = rfm.segment_customers(load_retail(spark, sf_dir)).select(*rfm.SEGMENTATION_COLUMNS)
-    path = write_table(seg, scratch_path(spark, "exports", "customer_segmentation"), "csv")
+    path = write_table(seg, scratch_path(spark, "exports", uuid.uuid4().hex,
+                                         "customer_segmentation"), "csv")
     return read_segmentation(spark, path, "csv")
 
 
@@ -37,7 +40,7 @@ def q_snk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     UniqueCustomers) written as Parquet and read back."""
     weekly = ts.weekly_sales(clean_transactions(load_retail(spark, sf_dir)))
     out = weekly.select("Date", "Revenue", "Transactions", "UniqueCustomers")
-    path = write_table(out, scratch_path(spark, "exports", "weekly_sales"))
+    path = write_table(out, scratch_path(spark, "exports", uuid.uuid4().hex, "weekly_sales"))
     return spark.read.parquet(path).select(date_text("Date"), "Revenue", "Transactions",
                                            "UniqueCustomers")
 
@@ -49,6 +52,7 @@ def q_snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = ts.weekly_sales(clean_transactions(load_retail(spark, sf_dir)))
     table = forecast.forecast_table(weekly).select("Week", "Date", "Forecast", "Lower_CI",
                                                     "Upper_CI")
-    path = write_table(table, scratch_path(spark, "exports", "revenue_forecast"))
+    path = write_table(table, scratch_path(spark, "exports", uuid.uuid4().hex,
+                                           "revenue_forecast"))
     return spark.read.parquet(path).select("Week", date_text("Date"), "Forecast", "Lower_CI",
                                            "Upper_CI").orderBy(F.col("Week"))

@@ -4,6 +4,9 @@ exact SQL oracle (rows-only check); tests pin tolerances instead."""
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,16 @@ def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FITTED: dict[tuple[str, str, str], object] = {}
+_FIT_LOCK = threading.Lock()
 
 
 def fitted_model(spark: SparkSession, sf_dir: str, name: str, matrix: DataFrame):
     """Fit a model on the training rows once per session and dataset; the
     importance, scoring, persistence and leaderboard queries share it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = models.fit(name, matrix.filter(F.col("is_test") == 0))
+    with _FIT_LOCK:
+        if key not in _FITTED:
+            _FITTED[key] = models.fit(name, matrix.filter(F.col("is_test") == 0))
     return _FITTED[key]
 
 
@@ -62,7 +67,8 @@ def q_snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy; ``same_as_fitted`` checks the round trip row by row."""
     matrix = model_matrix(spark, sf_dir)
     fitted = boosted_model(spark, sf_dir, matrix)
-    path = models.save_model(fitted, scratch_path(spark, "models", "churn_boosted"))
+    path = models.save_model(fitted, scratch_path(spark, "models", uuid.uuid4().hex,
+                                                  "churn_boosted"))
     loaded = models.load_model(path)
     a = models.probability_of_churn(fitted.transform(matrix), "p_fitted").select(
         "CustomerID", "p_fitted")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.session import scratch_path
 
 _TABLES: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.Lock()
+_BUILDING: dict[tuple[str, str, str], threading.Lock] = {}
 
 
 def materialized(spark: SparkSession, name: str, source: str,
@@ -26,9 +29,12 @@ def materialized(spark: SparkSession, name: str, source: str,
     on first use in this session; later calls read the written table."""
     src = os.path.abspath(source)
     key = (spark.sparkContext.applicationId, name, src)
-    if key not in _TABLES:
-        digest = hashlib.sha1(src.encode()).hexdigest()[:12]
-        path = scratch_path(spark, "tables", name, digest)
-        build().write.mode("overwrite").parquet(path)
-        _TABLES[key] = path
+    with _LOCK:
+        lock = _BUILDING.setdefault(key, threading.Lock())
+    with lock:  # concurrent callers wait for one build instead of racing
+        if key not in _TABLES:
+            digest = hashlib.sha1(src.encode()).hexdigest()[:12]
+            path = scratch_path(spark, "tables", name, digest)
+            build().write.mode("overwrite").parquet(path)
+            _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
