@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tillroll.functions.expressions import (
     CHURN_THRESHOLD_DAYS, HOME_COUNTRY, churn_flag, floor_days, home_flag, risk_band,
 )
+from tillroll.operators.metrics import CLASS_NAMES
 from tillroll.operators.ranking import RANK, TOTAL, global_rank
+from tillroll.operators.reports import distribution
 from tillroll.operators.rfm import reference_date
 
 # --- fixed values that must equal the reference's ---------------------------
@@ -142,3 +144,11 @@ def clv_at_risk(retention: DataFrame) -> DataFrame:
     return retention.agg(F.count(F.lit(1)).alias("customers_at_risk"),
                          F.coalesce(F.sum(F.col("CLV").cast("decimal(38,3)")), F.lit(0))
                          .cast("double").alias("clv_at_risk"))
+
+
+def label_distribution(features: DataFrame, label: str = "Churned") -> DataFrame:
+    """AGG10 for the churn label: customers and share per class, both classes
+    present even when one is empty (T24)."""
+    domain = features.sparkSession.createDataFrame(
+        list(enumerate(CLASS_NAMES)), f"{label} int, class_name string")
+    return distribution(features.withColumn(label, F.col(label).cast("int")), label, domain)

@@ -111,6 +111,16 @@ def q_agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "AvgDaysBetweenPurchases", "IsUK", "Churned")
 
 
+@register("agg10_churn_label_distribution", churn_oracle(extra="""
+classes(Churned, class_name) AS (VALUES (0, 'Active'), (1, 'Churned'))""", body="""
+SELECT c.Churned, c.class_name, COALESCE(n.customers, 0) AS customers,
+       COALESCE(n.customers, 0) * 100.0 / (SELECT COUNT(*) FROM cf) AS pct
+FROM classes c LEFT JOIN (SELECT Churned, COUNT(*) AS customers FROM cf GROUP BY Churned) n
+  USING (Churned)"""))
+def q_agg10_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn.label_distribution(features(spark, sf_dir))
+
+
 @register("ml4_stratified_split", churn_oracle("""
 SELECT CustomerID, Churned, is_test, fold FROM split"""))
 def q_ml4(spark: SparkSession, sf_dir: str) -> DataFrame:
