@@ -53,3 +53,12 @@ def test_sql_text_equals_dataframe_api(spark, retail, name, fn, cols):
 def test_current_date_default(spark, retail):
     row = run_feature_query(spark, "churn_indicators").agg({"days_since_purchase": "min"}).first()
     assert row[0] > 0
+
+
+def test_approximate_distinct_option_is_close(retail):
+    exact = sales.geographic_analysis(retail).toPandas().set_index("country")
+    approx = sales.geographic_analysis(retail, exact=False).toPandas().set_index("country")
+    rel = (approx["orders"] - exact["orders"]).abs() / exact["orders"]
+    assert (rel <= 0.05).all()
+    assert "Expand" not in sales.geographic_analysis(retail, exact=False)._jdf.queryExecution() \
+        .executedPlan().toString()

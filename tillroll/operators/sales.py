@@ -21,6 +21,13 @@ from tillroll.operators.clean import (
 )
 
 
+def distinct_count(col: str, exact: bool = True, rsd: float = 0.01) -> Column:
+    """AGG18: exact ``COUNT(DISTINCT)`` (default), or a HyperLogLog++ sketch
+    (``approx_count_distinct``, relative error ``rsd``) — one small sketch
+    per group and no Expand/extra shuffle, for dashboards over huge tables."""
+    return F.countDistinct(col) if exact else F.approx_count_distinct(col, rsd)
+
+
 def as_of_date(as_of: str | _dt.date | Column | None) -> Column:
     """FN13: the report date; ``None`` means CURRENT_DATE."""
     if as_of is None:
@@ -47,14 +54,14 @@ def churn_indicators_sql(df: DataFrame, as_of=None, threshold: int = 90) -> Data
         F.col("_ltv").cast("double").alias("lifetime_value"))
 
 
-def weekly_sales_sql(df: DataFrame) -> DataFrame:
+def weekly_sales_sql(df: DataFrame, exact: bool = True) -> DataFrame:
     """AGG7 (SQL query 4): Monday-start weeks, true weekly distinct counts,
     mean line amount."""
     agg = (sql_sales_filter(df)
            .groupBy(week_starting_monday("invoice_date").alias("week_start"))
            .agg(F.sum(line_amount()).alias("_rev"),
-                F.countDistinct("invoice").alias("transactions"),
-                F.countDistinct("customer_id").alias("unique_customers"),
+                distinct_count("invoice", exact).alias("transactions"),
+                distinct_count("customer_id", exact).alias("unique_customers"),
                 F.count(F.lit(1)).alias("_lines")))
     return agg.select(
         "week_start", F.col("_rev").cast("double").alias("revenue"), "transactions",
@@ -62,27 +69,27 @@ def weekly_sales_sql(df: DataFrame) -> DataFrame:
     ).orderBy("week_start")
 
 
-def product_performance(df: DataFrame, top: int = 20) -> DataFrame:
+def product_performance(df: DataFrame, top: int = 20, exact: bool = True) -> DataFrame:
     """AGG8 + SRT3 (SQL query 5): top products by revenue.
 
     ORDER BY … LIMIT plans as TakeOrderedAndProject (per-partition top-k then
     merge); stock code and description break revenue ties deterministically.
     """
     agg = (sql_product_filter(df).groupBy("stock_code", "description")
-           .agg(F.countDistinct("invoice").alias("order_count"),
+           .agg(distinct_count("invoice", exact).alias("order_count"),
                 F.sum("quantity").cast("bigint").alias("units_sold"),
                 F.sum(line_amount()).cast("double").alias("revenue"),
-                F.countDistinct("customer_id").alias("unique_buyers")))
+                distinct_count("customer_id", exact).alias("unique_buyers")))
     return agg.orderBy(F.desc("revenue"), F.asc_nulls_first("stock_code"),
                        F.asc_nulls_first("description")).limit(top)
 
 
-def geographic_analysis(df: DataFrame) -> DataFrame:
+def geographic_analysis(df: DataFrame, exact: bool = True) -> DataFrame:
     """AGG9 (SQL query 6): per-country customers, orders, revenue and
     revenue per customer (NULL instead of a division-by-zero error)."""
     agg = (sql_geo_filter(df).groupBy("country")
-           .agg(F.countDistinct("customer_id").alias("customers"),
-                F.countDistinct("invoice").alias("orders"),
+           .agg(distinct_count("customer_id", exact).alias("customers"),
+                distinct_count("invoice", exact).alias("orders"),
                 F.sum(line_amount()).alias("_rev")))
     return agg.select(
         "country", "customers", "orders", F.col("_rev").cast("double").alias("revenue"),
