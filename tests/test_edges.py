@@ -130,3 +130,12 @@ def test_stratified_split_is_exact(spark):
     per = out.groupby("Churned")["is_test"].sum().to_dict()
     assert per == {0: 7, 1: 14}  # ceil(0.2 * n) per class
     assert sorted(out["fold"].unique().tolist()) == [0, 1, 2, 3, 4]
+
+
+def test_recommended_conf_scales_with_input():
+    from tillroll.session import recommended_conf
+    small = recommended_conf(10 << 30, executors=2, cores_per_executor=4)
+    huge = recommended_conf(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(huge["spark.sql.shuffle.partitions"]) == (100 << 40) // 4 // (256 << 20)
+    assert huge["spark.sql.adaptive.skewJoin.enabled"] == "true"

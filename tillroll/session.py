@@ -68,3 +68,35 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     if not parts:
         parts = (uuid.uuid4().hex,)
     return "/".join([base, "tillroll", *parts])
+
+
+MiB = 1 << 20
+
+
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                     partition_bytes: int = 256 * MiB,
+                     shuffle_fraction: float = 0.25) -> dict[str, str]:
+    """Cluster settings sized from the input volume.
+
+    * file splits of ``partition_bytes`` (scan tasks that fit in memory);
+    * initial shuffle partitions for the expected shuffle volume (lines are
+      partially aggregated before the first exchange, so ``shuffle_fraction``
+      of the input), never fewer than twice the cores — AQE then coalesces
+      small partitions to ``partition_bytes`` and splits skewed join
+      partitions;
+    * ``parallelismFirst=false`` so coalescing targets the advisory size
+      rather than keeping every core busy with tiny tasks.
+    """
+    cores = max(1, executors * cores_per_executor)
+    shuffle_parts = max(2 * cores, -(-int(input_bytes * shuffle_fraction) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.session.timeZone": "UTC",
+    }
