@@ -85,8 +85,11 @@ def customer_value(rfm: DataFrame) -> DataFrame:
             .drop("_max_recency"))
 
 
+# --- fixed values that must equal the reference's ---------------------------
+# Columns of the segmentation export, in the reference's order.
 SEGMENTATION_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "R_Score", "F_Score",
                         "M_Score", "RFM_Score", "CustomerTier", "CLV", "AvgOrderValue"]
+# -----------------------------------------------------------------------------
 
 
 def segment_customers(transactions: DataFrame, q: int = 5) -> DataFrame:

@@ -14,7 +14,8 @@ RETAIL_SCHEMA = T.StructType([
     T.StructField("country", T.StringType(), True),
 ])
 
-# Column names of the published raw workbook -> library names.
+# --- fixed values that must equal the reference's ---------------------------
+# Column names of the raw workbook -> library names.
 RAW_COLUMN_NAMES = {
     "Invoice": "invoice",
     "StockCode": "stock_code",
@@ -25,6 +26,7 @@ RAW_COLUMN_NAMES = {
     "Customer ID": "customer_id",
     "Country": "country",
 }
+# -----------------------------------------------------------------------------
 
 # Segmentation export (hand-off between the segmentation and churn jobs).
 SEGMENTATION_SCHEMA = T.StructType([
