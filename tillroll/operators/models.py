@@ -16,6 +16,8 @@ Mapping to the reference's estimators:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -116,12 +118,17 @@ def leaderboard(matrix: DataFrame, models: list[str] = MODEL_NAMES, folds: int =
     spark = matrix.sparkSession
     train = matrix.filter(F.col("is_test") == 0).checkpoint(eager=True)
     test = matrix.filter(F.col("is_test") == 1)
-    rows = []
-    for name in models:
+
+    def evaluate(name: str) -> tuple:
         model = (fitted or {}).get(name) or fit(name, train, **kw)
         score = test_auc(model, test).select("auc").first()["auc"]
         mean, std = cross_validate(name, train, folds, **kw) if folds > 1 else (None, None)
-        rows.append((name, float(score), mean, std))
+        return name, float(score), mean, std
+
+    # The models are independent: their Spark jobs are submitted concurrently
+    # from driver threads and share the executors.
+    with ThreadPoolExecutor(max_workers=max(1, len(models))) as pool:
+        rows = list(pool.map(evaluate, models))
     board = spark.createDataFrame(rows, "model string, test_auc double, cv_mean double, "
                                         "cv_std double")
     best = board.agg(F.max_by("model", "test_auc")).scalar()
