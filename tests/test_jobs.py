@@ -49,3 +49,14 @@ def test_forecast_job_per_country(spark, sf_small):
     paths = jobs.forecast_job(tpch_retail_view(spark, sf_small), out, by="country")
     fc = spark.read.parquet(paths["revenue_forecast"])
     assert fc.filter(F.col("series_key") == "ALL").count() == 12
+
+
+def test_kpi_stream_job(spark, sf_small):
+    from tillroll.streaming import kpis
+    run = uuid.uuid4().hex
+    out, ckpt = scratch_path(spark, "test_jobs", run, "o"), scratch_path(spark, "test_jobs", run,
+                                                                         "c")
+    jobs.kpi_stream_job(spark, sf_small, out, ckpt).awaitTermination()
+    got = kpis.read_latest(spark, out)
+    assert got.agg(F.sum("events")).first()[0] == spark.read.parquet(
+        f"{sf_small}/events.parquet").count()

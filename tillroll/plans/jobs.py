@@ -7,6 +7,8 @@ model metrics.
     python -m tillroll.plans.jobs segmentation --lines PATH --out DIR
     python -m tillroll.plans.jobs churn --lines PATH --out DIR [--home "United Kingdom"]
     python -m tillroll.plans.jobs forecast --lines PATH --out DIR [--by country]
+    python -m tillroll.plans.jobs kpis --events DIR --out DIR --checkpoint DIR
+                                       [--every "1 minute"]
 
 ``--lines`` is a Parquet (or ``--format csv``) folder of invoice lines with
 the workbook's or the library's column names; ``--tpch DIR`` derives the
@@ -26,6 +28,7 @@ from tillroll.operators.clean import clean_transactions
 from tillroll.operators.metrics import risk_distribution
 from tillroll.sources.retail import read_segmentation, read_transactions, tpch_retail_view
 from tillroll.sources.sinks import write_table
+from tillroll.streaming import kpis
 
 
 def segmentation_job(lines: DataFrame, out: str) -> dict[str, str]:
@@ -87,12 +90,25 @@ def forecast_job(lines: DataFrame, out: str, by: str | None = None) -> dict[str,
     }
 
 
+def kpi_stream_job(spark: SparkSession, events_dir: str, out: str, checkpoint: str,
+                   every: str | None = None):
+    """Streaming weekly KPIs over event files: runs to completion over what
+    is there (``every=None``, availableNow) or keeps running on a
+    processing-time trigger.  Returns the streaming query."""
+    stream = kpis.weekly_kpis(kpis.event_stream(spark, events_dir))
+    return kpis.run_to_table(stream, out, checkpoint, available_now=every is None,
+                             processing_time=every)
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="tillroll.plans.jobs")
-    ap.add_argument("job", choices=["segmentation", "churn", "forecast"])
+    ap.add_argument("job", choices=["segmentation", "churn", "forecast", "kpis"])
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--lines")
     src.add_argument("--tpch")
+    src.add_argument("--events")
+    ap.add_argument("--checkpoint")
+    ap.add_argument("--every")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--out", required=True)
     ap.add_argument("--segmentation-csv")
@@ -100,6 +116,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--by")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if args.job == "kpis":
+        query = kpi_stream_job(spark, args.events, args.out, args.checkpoint, args.every)
+        query.awaitTermination()
+        return
     lines = (tpch_retail_view(spark, args.tpch) if args.tpch
              else read_transactions(spark, args.lines, args.format))
     if args.job == "segmentation":
