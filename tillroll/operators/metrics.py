@@ -91,18 +91,15 @@ def classification_report(pred: DataFrame, label: str = "label",
     y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
     c = pred.agg(*[F.count(F.when((y == a) & (p == b), 1)).alias(f"c{a}{b}")
                    for a in (0, 1) for b in (0, 1)])
-    rows = []
-    for k, name in enumerate(CLASS_NAMES):
+    per_class = []
+    for k in (0, 1):  # class k: tp = c_kk, fp = c_ok, fn = c_ko (o = the other class)
         o = 1 - k
         tp, fp, fn = F.col(f"c{k}{k}"), F.col(f"c{o}{k}"), F.col(f"c{k}{o}")
-        prec, rec = _div0(tp, tp + fp), _div0(tp, tp + fn)
-        rows.append((k, name, prec, rec, tp + fn))
-    exprs = {}
-    for k, name, prec, rec, sup in rows:
-        exprs[f"p{k}"], exprs[f"r{k}"], exprs[f"s{k}"] = prec, rec, sup
+        per_class += [_div0(tp, tp + fp).alias(f"p{k}"), _div0(tp, tp + fn).alias(f"r{k}"),
+                      (tp + fn).alias(f"s{k}")]
     acc = _div0(F.col("c00") + F.col("c11"),
                 F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11"))
-    wide = c.select(*[v.alias(k) for k, v in exprs.items()], acc.alias("_acc"))
+    wide = c.select(*per_class, acc.alias("_acc"))
     f1 = {k: _div0(2 * F.col(f"p{k}") * F.col(f"r{k}"), F.col(f"p{k}") + F.col(f"r{k}"))
           for k in (0, 1)}
     wide = wide.withColumn("f0", f1[0]).withColumn("f1", f1[1])
