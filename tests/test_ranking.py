@@ -112,3 +112,14 @@ def test_global_cumsum_matches_window(spark):
         .alias("want"))
     joined = got.join(want, "id").toPandas()
     assert (joined["c"] == joined["want"]).all()
+
+
+def test_approximate_edges_option_is_close(spark):
+    vals = np.random.default_rng(11).lognormal(8, 1, 5000).round(2)
+    df, _ = _frame(spark, vals)
+    exact = ranking.quantile_edges(df, "x", "id").first()
+    approx = ranking.quantile_edges(df, "x", "id", approx_accuracy=10_000).first()
+    ranks = np.sort(vals)
+    for e, a in zip(exact, approx):
+        # an approximate edge lies within 1/accuracy · n ranks of the exact one
+        assert abs(np.searchsorted(ranks, a) - np.searchsorted(ranks, e)) <= 5000 / 10_000 + 2

@@ -152,13 +152,21 @@ def exact_quantiles(df: DataFrame, value: str, key: str,
 
 
 def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
-                   digits: int = 9, bounded_domain: bool = False) -> DataFrame:
+                   digits: int = 9, bounded_domain: bool = False,
+                   approx_accuracy: int | None = None) -> DataFrame:
     """One-row DataFrame ``e1..e{q-1}``: the inner qcut edges j/q of ``value``.
 
     ``bounded_domain=True`` (integer values from a small, data-size-independent
     domain, e.g. days of recency) uses Spark's exact ``percentile`` aggregate,
     whose value→count map is bounded by the domain; otherwise the ranking path
-    is used, which is exact at any cardinality."""
+    is used, which is exact at any cardinality.  ``approx_accuracy`` opts into
+    ``percentile_approx`` (one aggregation with bounded sketches; edges are
+    then observed values within 1/accuracy in rank, not interpolated)."""
+    if approx_accuracy:
+        pct = F.percentile_approx(F.col(value).cast("double"),
+                                  [j / q for j in range(1, q)], approx_accuracy)
+        return df.agg(pct.alias("_e")).select(*[
+            F.round(F.col("_e")[j - 1], digits).alias(f"e{j}") for j in range(1, q)])
     if bounded_domain:
         pct = F.percentile(F.col(value), F.array(*[F.lit(j / q) for j in range(1, q)]))
         one = df.agg(pct.alias("_e"))
@@ -179,10 +187,12 @@ def bucket_by_edges(value: str | Column, edges: Column, q: int = 5) -> Column:
 
 
 def value_quintile(df: DataFrame, value: str, key: str, out: str, q: int = 5,
-                   reverse: bool = False, bounded_domain: bool = False) -> DataFrame:
+                   reverse: bool = False, bounded_domain: bool = False,
+                   approx_accuracy: int | None = None) -> DataFrame:
     """WIN2/WIN3: ``qcut(value, q)`` score per row (``reverse`` gives labels
     q..1 as used for recency).  The edges enter as one scalar subquery."""
-    edges = quantile_edges(df, value, key, q, bounded_domain=bounded_domain)
+    edges = quantile_edges(df, value, key, q, bounded_domain=bounded_domain,
+                           approx_accuracy=approx_accuracy)
     edge_struct = edges.select(F.struct(*[f"e{j}" for j in range(1, q)])).scalar()
     bucket = bucket_by_edges(value, edge_struct, q)
     score = (F.lit(q + 1) - bucket) if reverse else bucket
