@@ -60,3 +60,14 @@ def test_kpi_stream_job(spark, sf_small):
     got = kpis.read_latest(spark, out)
     assert got.agg(F.sum("events")).first()[0] == spark.read.parquet(
         f"{sf_small}/events.parquet").count()
+
+
+def test_register_views_for_sql_users(spark, sf_small):
+    from tillroll.plans.views import register_views
+    names = register_views(spark, sf_small)
+    assert {"online_retail", "customer_segmentation", "weekly_sales"} <= set(names)
+    tiers = spark.sql("SELECT CustomerTier, COUNT(*) AS n FROM customer_segmentation "
+                      "GROUP BY CustomerTier").toPandas()
+    assert tiers["n"].sum() == 150
+    fc = spark.sql("SELECT COUNT(*) FROM revenue_forecast WHERE series_key = 'ALL'").first()[0]
+    assert fc == 12
