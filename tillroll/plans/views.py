@@ -6,7 +6,10 @@
 Views over the once-per-session derived tables: ``online_retail``,
 ``customer_segmentation``, ``customer_rfm_scored`` (SQL query 1's result),
 ``churn_features``, ``weekly_sales`` (per country plus 'ALL'),
-``revenue_forecast``.
+``revenue_forecast``.  ``sf_dir`` is a folder of the TPC-H-style tables, and
+the registered queries' parameters apply (report date ``AS_OF``, home
+country ``TEST_HOME``); over real invoice lines use the operators or
+``plans.jobs`` directly.
 """
 
 from __future__ import annotations
