@@ -3,6 +3,7 @@ scalable DataFrame operators; the plain-window statement is the oracle of
 the range-partitioned ranking."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.operators import rfm, sales
 from tillroll.plans.feature_queries import run_feature_query
@@ -62,3 +63,19 @@ def test_approximate_distinct_option_is_close(retail):
     assert (rel <= 0.05).all()
     assert "Expand" not in sales.geographic_analysis(retail, exact=False)._jdf.queryExecution() \
         .executedPlan().toString()
+
+
+def test_scalable_scores_under_a_hot_customer(spark, retail):
+    """A third of all lines moved to one customer: the range-partitioned scores
+    still equal the plain-window statement."""
+    skewed = retail.withColumn(
+        "customer_id", F.when(F.abs(F.hash("invoice", "stock_code")) % 3 == 0, F.lit(1))
+        .otherwise(F.col("customer_id")))
+    skewed.createOrReplaceTempView("online_retail")
+    try:
+        text = run_feature_query(spark, "rfm_scores", AS_OF)
+        scalable = rfm.customer_rfm_scored(skewed, AS_OF)
+        _same(text, scalable, ["customer_id", "recency", "frequency", "monetary", "r_score",
+                               "f_score", "m_score"])
+    finally:
+        retail.createOrReplaceTempView("online_retail")
