@@ -79,3 +79,20 @@ def test_scalable_scores_under_a_hot_customer(spark, retail):
                                "f_score", "m_score"])
     finally:
         retail.createOrReplaceTempView("online_retail")
+
+
+def test_notebook_scores_under_a_hot_customer_match_pandas(spark, retail):
+    import pandas as pd
+    from tillroll.operators.clean import clean_transactions
+    skewed = retail.withColumn(
+        "customer_id", F.when(F.abs(F.hash("invoice", "stock_code")) % 3 == 0, F.lit(1))
+        .otherwise(F.col("customer_id")))
+    r = rfm.rfm_notebook(clean_transactions(skewed))
+    got = rfm.score_notebook(r).toPandas().sort_values("CustomerID").reset_index(drop=True)
+    pdf = r.toPandas().sort_values("CustomerID").reset_index(drop=True)
+    want_r = pd.qcut(pdf["Recency"], 5, labels=[5, 4, 3, 2, 1], duplicates="drop")
+    want_f = pd.qcut(pdf["Frequency"].rank(method="first"), 5, labels=[1, 2, 3, 4, 5])
+    want_m = pd.qcut(pdf["Monetary"], 5, labels=[1, 2, 3, 4, 5], duplicates="drop")
+    assert got["R_Score"].tolist() == want_r.astype(int).tolist()
+    assert got["F_Score"].tolist() == want_f.astype(int).tolist()
+    assert got["M_Score"].tolist() == want_m.astype(int).tolist()
