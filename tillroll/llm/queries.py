@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, langid, quality_lines, token_counts
+from tillroll.llm import decontaminate, langid, quality_lines, simhash, substring_dedup, token_counts
 from tillroll.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,14 @@ def op7_token_counts(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.without_repeats(
+        read_table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("doc_id"), F.col("text"),
+        window=50).select("doc_id", "n_words", "n_removed",
+                          F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register("op6_language_id")
 def op6_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -54,3 +62,10 @@ def op8_benchmark_decontamination(spark, sf_dir):
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.contaminated(docs, F.col("doc_id"), F.col("text"),
                                       items, F.col("item_id"), F.col("text"))
+
+
+@register("op9_simhash_near_dup")
+def op9_simhash_near_dup(spark, sf_dir):
+    near = simhash.near_duplicates(read_table(spark, sf_dir, "documents"),
+                                   F.col("doc_id"), F.col("text"), shingle=4, max_bits=4)
+    return near.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
