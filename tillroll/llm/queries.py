@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, langid, quality_lines, simhash, substring_dedup, token_counts
-from tillroll.llm.text import read_table
+from tillroll.llm import (
+    decontaminate, langid, mixing, oracles, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
+)
+from tillroll.llm.text import n_words, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +42,19 @@ def op7_token_counts(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@register("op3_secret_scan", oracles.secret_scan_sql())
+def op3_secret_scan(spark, sf_dir):
+    found = secret_scan.secret_spans(
+        read_table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("text"))
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.span_list(base), 256).alias("base_sha256"),
+                        secret_scan.span_list(F.col("spans")).alias("spans"))
+
+
 @register("op4_substring_dedup")
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.without_repeats(
@@ -69,3 +84,9 @@ def op9_simhash_near_dup(spark, sf_dir):
     near = simhash.near_duplicates(read_table(spark, sf_dir, "documents"),
                                    F.col("doc_id"), F.col("text"), shingle=4, max_bits=4)
     return near.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op10_source_mix", oracles.source_mix_sql())
+def op10_source_mix(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"),
+                      n_words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
