@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
-    decontaminate, langid, mixing, oracles, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
+    decontaminate, langid, mixing, oracles, pii, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
 )
 from tillroll.llm.text import n_words, read_table
 
@@ -63,6 +63,18 @@ def op4_substring_dedup(spark, sf_dir):
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op5_pii_pseudonyms")
+def op5_pii_pseudonyms(spark, sf_dir):
+    out = pii.pseudonymise(read_table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("text"),
+                           key="tillroll-demo-key")
+    kinds = [F.size(F.filter("found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", "n_found", *kinds)
+
+
+def _of_kind(kind):
+    return lambda f: f["kind"] == kind
+
+
 @register("op6_language_id")
 def op6_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
