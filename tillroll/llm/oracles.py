@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import mixing, secret_scan
+from tillroll.llm import license_scan, mixing, secret_scan
 
 WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
 
@@ -93,3 +93,46 @@ steps AS (
 SELECT doc_id, size, source_size, target,
        size * CAST(floor((place + 1) * each + shift) - floor(place * each + shift) AS BIGINT) AS taken
 FROM steps"""
+
+
+def license_scan_sql(header: float = 0.8, whole: float = 0.6) -> str:
+    """All lines and whole texts against all templates, without the cue terms."""
+    terms = license_scan.template_terms(license_scan.TEMPLATES)
+    values = ", ".join(f"({_text(k)}, {i}, {_text(w)}, {c})" for i, (k, v) in enumerate(terms.items())
+                       for w, c in v.items())
+    return f"""
+WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, lower(coalesce(text, '')) AS t FROM documents),
+template(name, rank, term, c) AS (VALUES {values}),
+n AS (SELECT count(*) AS n FROM docs),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (
+         SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM docs)
+       WHERE term IN (SELECT term FROM template) GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf
+        FROM (SELECT DISTINCT term FROM template) LEFT JOIN df USING (term), n),
+unseen AS (SELECT ln(1 + n) + 1 AS idf FROM n),
+vec AS (SELECT name, rank, term, c * idf AS x FROM template JOIN idf USING (term)),
+norm AS (SELECT name, sqrt(sum(x * x)) AS norm FROM vec GROUP BY name),
+units AS (SELECT doc_id, 0 AS unit, t AS u FROM docs UNION ALL
+          SELECT doc_id, i, u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS u,
+                 unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM docs)),
+counts AS (SELECT doc_id, unit, term, count(*) AS c FROM (
+             SELECT doc_id, unit, unnest(regexp_extract_all(u, '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
+weighed AS (SELECT doc_id, unit, term, c * coalesce(i.idf, s.idf) AS x
+            FROM counts LEFT JOIN idf i USING (term), unseen s),
+lengths AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS len FROM weighed GROUP BY ALL),
+cosines AS (SELECT doc_id, unit, name, rank, round(dot / (len * norm), 6) AS score FROM (
+              SELECT w.doc_id, w.unit, v.name, v.rank, sum(w.x * v.x) AS dot FROM weighed w JOIN vec v USING (term)
+              GROUP BY ALL) JOIN lengths USING (doc_id, unit) JOIN norm USING (name)),
+headers AS (SELECT doc_id, name, score FROM cosines WHERE unit > 0 AND score >= {header}
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1),
+wholes AS (SELECT doc_id, name, score, rank FROM cosines WHERE unit = 0 AND score >= {whole}
+           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1),
+files AS (SELECT doc_id, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM docs),
+covered AS (SELECT dir, w.name FROM files JOIN wholes w USING (doc_id)
+            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, rank) = 1),
+near AS (SELECT f.dir, c.dir AS up, c.name FROM (SELECT DISTINCT dir FROM files) f
+         JOIN covered c ON f.dir = c.dir OR c.dir = '' OR starts_with(f.dir, c.dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY length(c.dir) DESC) = 1)
+SELECT f.doc_id, f.path, h.name AS header, h.score AS header_score, w.name AS covers,
+       near.name AS inherited, near.up AS inherited_from, coalesce(h.name, near.name) AS licence
+FROM files f LEFT JOIN headers h USING (doc_id) LEFT JOIN wholes w USING (doc_id) LEFT JOIN near USING (dir)"""

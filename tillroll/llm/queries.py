@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
-    decontaminate, langid, mixing, oracles, pii, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
+    decontaminate, langid, license_scan, mixing, oracles, pii, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
 )
 from tillroll.llm.text import n_words, read_table
 
@@ -42,6 +42,14 @@ def op7_token_counts(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@register("op2_license_scan", oracles.license_scan_sql())
+def op2_license_scan(spark, sf_dir):
+    # The tree of the corpus: source/language/document.
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.licences(read_table(spark, sf_dir, "documents"), F.col("doc_id"), path,
+                                 F.col("text")).withColumnRenamed("id", "doc_id")
+
+
 @register("op3_secret_scan", oracles.secret_scan_sql())
 def op3_secret_scan(spark, sf_dir):
     found = secret_scan.secret_spans(
