@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tillroll.llm.text import byte_slices
+from tillroll.llm.text import byte_slices, map_texts, written
 
-#: Seven of ten places count.  Together the masks find any stretch of 13 equal
-#: tokens, and of 20 tokens with up to two substitutions.
+#: Seven of ten places count.  Together the masks hit any stretch of 13 tokens with
+#: one substitution, of 15 with two, of 25 with four.
 MASKS = ("1110010111", "1011011101", "1101101011", "1111001101")
 SPAN = len(MASKS[0])
 _TOKEN_BYTES = bytes(c if chr(c).isalnum() and c < 0x80 or c >= 0x80 else 0x20 for c in range(256))
@@ -126,6 +128,20 @@ def best_stretch(equal: np.ndarray, max_substituted: float) -> tuple[int, int]:
     return start, stop
 
 
+def benchmark_blocks(benchmark: DataFrame, item_id: Column, item_text: Column,
+                     block_bytes: int) -> list[DataFrame]:
+    """Items (item_id, _text) in blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(item_id.alias("item_id"), item_text.alias("_text")).where("_text is not null")
+    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    return [items.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _shared_index(block: DataFrame):
+    rows = sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return block.sparkSession.sparkContext.broadcast(SeedIndex.build(rows))
+
+
 def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataFrame,
                  item_id: Column, item_text: Column, min_overlap: int = 13,
                  max_substituted: float = 0.2, block_bytes: int = 8 << 20) -> DataFrame:
@@ -138,22 +154,16 @@ def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataF
     has a share of ``max_substituted`` substitutions at most, and a mask hits
     there.  Null and empty texts overlap nothing; repeated rows and repeated
     items give rows each; ids may be null.  ``block_bytes`` bounds the benchmark
-    text sent to the tasks at once.
+    text sent to the tasks at once; each block reads the documents.
     """
-    spark = docs.sparkSession
     src = docs.select(doc_id.alias("doc_id"), text.alias("_text"))
-    items = benchmark.select(item_id.alias("item_id"), item_text.alias("_text")).where("_text is not null")
-    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = size // block_bytes + 1
-    schema = (f"doc_id {src.schema['doc_id'].dataType.simpleString()}, "
-              f"item_id {items.schema['item_id'].dataType.simpleString()}, matched long, "
-              "compared long, item_tokens long, doc_start long, item_start long")
-    types = [pa.int64()] * 5
 
-    def hits(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(
-            SeedIndex.build(sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+    def hits(block: DataFrame) -> DataFrame:
+        shared = _shared_index(block)
+        fields = [T.StructField(n, T.LongType()) for n in (
+            "matched", "compared", "item_tokens", "doc_start", "item_start")]
+        schema = T.StructType([src.schema["doc_id"], block.schema["item_id"], *fields])
+        item_type = to_arrow_type(block.schema["item_id"].dataType)
 
         def run(batches):
             index = shared.value
@@ -161,20 +171,35 @@ def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataF
             for b in batches:
                 for start, length in byte_slices(b.column(1), 8 << 20):
                     part = b.slice(start, length)
-                    at, found = [], []
-                    for i, t in enumerate(part.column(1).to_pylist()):
-                        for row in index.overlaps(t, filters, min_overlap, max_substituted):
-                            at.append(i)
-                            found.append(row)
-                    ids = part.column(0).take(pa.array(at, pa.int64()))
-                    cols = list(zip(*found, strict=True)) or [()] * 6
+                    found = [(i, *row) for i, t in enumerate(part.column(1).to_pylist())
+                             for row in index.overlaps(t, filters, min_overlap, max_substituted)]
+                    at, ids, *numbers = list(zip(*found, strict=True)) or [()] * 7
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(cols[0], item_type), *map(pa.array, cols[1:], types)],
-                        names=["doc_id", "item_id", "matched", "compared", "item_tokens",
-                               "doc_start", "item_start"])
+                        [part.column(0).take(pa.array(at, pa.int64())), pa.array(ids, item_type),
+                         *(pa.array(n, pa.int64()) for n in numbers)], names=schema.names)
 
         return src.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    item_type = to_arrow_type(items.schema["item_id"].dataType)
-    return reduce(DataFrame.unionAll, [hits(b) for b in range(blocks)])
+    return reduce(DataFrame.unionAll, map(hits, benchmark_blocks(benchmark, item_id, item_text, block_bytes)))
+
+
+def without_contaminated(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: Column,
+                         item_text: Column, min_overlap: int = 13, max_substituted: float = 0.2,
+                         block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` pairs with no item; no shuffle.
+    Between blocks the rows that are left are written."""
+    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    for block in blocks:
+        shared = _shared_index(block)
+
+        def make(shared=shared):
+            index = shared.value
+            filters = index.filters()
+            return lambda texts: [pa.array([
+                bool(index.overlaps(t, filters, min_overlap, max_substituted)) for t in texts], pa.bool_())]
+
+        marked = map_texts(docs, [F.struct("*").alias("row")], text, make, "found boolean")
+        docs = marked.where("not found").select("row.*")
+        if len(blocks) > 1:
+            docs = written(docs, "decontaminated")
+    return docs

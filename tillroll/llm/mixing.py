@@ -9,7 +9,7 @@ their size, so what the sample takes is near the target whatever the sizes are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.text import written
@@ -84,3 +84,28 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, size: Column,
             .select("doc_id", "size", "source", "source_size", "target",
                     crossed.cast("long").alias("copies"))
             .withColumn("taken", F.col("size") * F.col("copies")))
+
+
+def mixed(docs: DataFrame, id_col: str, source_col: str, size: Column, **how) -> DataFrame:
+    """The mix itself: the columns of ``docs`` and ``copy`` (1, 2, ...), a row for
+    each emission.  An input column called copy is replaced."""
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
+                        F.col(source_col).cast("string").alias("_source"),
+                        F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    key = ["_id", "_source", "_size"]
+    taken = written(mix(docs, F.col(id_col), F.col(source_col), size, **how)
+                    .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+                            F.col("size").alias("_size"), "copies"), "copies")
+    turn = F.lit(1)
+    if not taken.groupBy(*key).count().where("count > 1").isEmpty():  # repeated rows take turns
+        turn = F.row_number().over(Window.partitionBy(*key).orderBy("copies"))
+        other = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row")))
+        keyed = keyed.withColumn("_turn", other)
+    else:
+        keyed = keyed.withColumn("_turn", turn)
+    taken = taken.withColumn("_turn", turn).where("copies > 0").select(
+        *[F.col(k).alias(f"t{k}") for k in [*key, "_turn"]], "copies")
+    same = [keyed[k].eqNullSafe(taken[f"t{k}"]) for k in [*key, "_turn"]]
+    emitted = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return keyed.join(taken, same).select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c != "copy"], emitted.alias("copy"))
