@@ -26,6 +26,7 @@ from tillroll.functions.expressions import HOME_COUNTRY
 from tillroll.operators import churn, forecast, models, reports, rfm, timeseries as ts
 from tillroll.operators.clean import clean_transactions
 from tillroll.operators.metrics import risk_distribution
+from tillroll.session import clear_scratch, durable_checkpoint, scratch_dir
 from tillroll.sources.retail import read_segmentation, read_transactions, tpch_retail_view
 from tillroll.sources.sinks import write_table
 from tillroll.streaming import kpis
@@ -56,10 +57,10 @@ def churn_job(lines: DataFrame, out: str, segmentation_csv: str | None = None,
     the persisted model."""
     spark = lines.sparkSession
     feats = churn.stratified_split(churn.churn_features(clean_transactions(lines), home=home))
-    matrix = churn.feature_matrix(feats).checkpoint(eager=True)
+    matrix = durable_checkpoint(churn.feature_matrix(feats))
     model = models.fit(models.BOOSTED, matrix.filter(F.col("is_test") == 0), rounds=rounds)
     paths = {"model": models.save_model(model, f"{out}/churn_model")}
-    scored = models.score_customers(model, matrix).checkpoint(eager=True)
+    scored = durable_checkpoint(models.score_customers(model, matrix))
     paths["churn_predictions"] = write_table(
         scored.select(*churn.CHURN_EXPORT_COLUMNS), f"{out}/churn_predictions", "csv")
     paths["risk_distribution"] = write_table(risk_distribution(scored), f"{out}/risk_distribution")
@@ -115,7 +116,23 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--home", default=HOME_COUNTRY)
     ap.add_argument("--by")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    spark = _job_session()
+    try:
+        _run(spark, args)
+    finally:
+        clear_scratch(spark)
+
+
+def _job_session() -> SparkSession:
+    """The session of ``spark-submit`` (its master and settings), or a local one;
+    jobs read wall-clock times, so the session zone is UTC either way."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("tillroll").getOrCreate()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    scratch_dir(spark)  # fails now, not in the middle, without a shared folder on a cluster
+    return spark
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "kpis":
         query = kpi_stream_job(spark, args.events, args.out, args.checkpoint, args.every)
         query.awaitTermination()

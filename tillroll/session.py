@@ -1,17 +1,20 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the scratch folder is whatever ``spark.checkpoint.dir`` names
-(a shared file system).  Only when nothing is configured — local runs and
-tests — do we create one under the system temp folder.
+(a shared file system); without it nothing runs there, because executors would
+write to their own disks.  Only a local master (one machine: runs on a laptop,
+tests) gets a folder under the system temp folder instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -33,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.parquet.filterPushdown", "true")
     )
     spark = builder.getOrCreate()
@@ -42,10 +45,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and materialised tables.
+    """Shared folder for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` (or an already-set checkpoint dir) from the
-    session; creates a local one only when none is configured.
+    Reads ``spark.checkpoint.dir`` (or a checkpoint folder set already) from the
+    session.  Unset, a local master gets a temp folder; any other master raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,22 +56,65 @@ def scratch_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir().rstrip("/")
-    key = sc.applicationId
-    if key not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[key] = tempfile.mkdtemp(prefix="tillroll-scratch-")
-        sc.setCheckpointDir(_LOCAL_SCRATCH[key])
+    if not configured:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError(
+                f"master {sc.master} needs spark.checkpoint.dir: a folder that the driver and all "
+                "executors share")
+        configured = _LOCAL_SCRATCH.setdefault(
+            sc.applicationId, tempfile.mkdtemp(prefix="tillroll-scratch-"))
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh sub-path of the scratch folder (unique per call when no parts)."""
-    base = scratch_dir(spark)
-    if not parts:
-        parts = (uuid.uuid4().hex,)
-    return "/".join([base, "tillroll", *parts])
+    """A sub-path of this application's part of the scratch folder (a fresh one
+    when no parts are given)."""
+    return "/".join([_own_scratch(spark), *(parts or (uuid.uuid4().hex,))])
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/tillroll/{spark.sparkContext.applicationId}"
+
+
+def durable_checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared scratch folder with its lineage cut, so that a
+    lost executor costs no recomputation."""
+    scratch_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, path): any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def folder_version(spark: SparkSession, path: str) -> str:
+    """Changes when a file in the folder, or in a folder in it, is written."""
+    fs, p = _path(spark, path)
+    seen = []
+    for f in fs.listStatus(p):
+        inner = fs.listStatus(f.getPath()) if f.isDirectory() else [f]
+        seen += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in inner]
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch folder; call it when its
+    DataFrames are no longer read."""
+    fs, p = _path(spark, _own_scratch(spark))
+    fs.delete(p, True)
 
 
 MiB = 1 << 20
