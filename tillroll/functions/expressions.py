@@ -39,9 +39,20 @@ def line_amount(quantity: str | Column = "quantity", price: str | Column = "pric
     return col_(quantity) * col_(price)
 
 
+def _wall(ts: str | Column) -> Column:
+    return col_(ts).cast("timestamp_ntz")
+
+
+def _time_of_day(ts: Column) -> Column:
+    """Interval since midnight; wall-clock arithmetic knows no time zone."""
+    return ts - F.to_date(ts).cast("timestamp_ntz")
+
+
 def floor_days(start: str | Column, end: str | Column) -> Column:
-    """FN9: whole elapsed 24-hour days from ``start`` to ``end`` (pandas ``.days``)."""
-    return F.timestamp_diff("DAY", col_(start), col_(end))
+    """FN9: whole elapsed 24-hour days from ``start`` to ``end`` (pandas ``.days``),
+    on the wall-clock values themselves, so the session time zone has no part."""
+    s, e = _wall(start), _wall(end)
+    return F.datediff(F.to_date(e), F.to_date(s)) - (_time_of_day(e) < _time_of_day(s)).cast("int")
 
 
 def calendar_days(start: str | Column, end: str | Column) -> Column:
@@ -101,10 +112,13 @@ _EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
 def ntz_to_instant(ts: str | Column) -> Column:
-    """Wall-clock TIMESTAMP_NTZ → TIMESTAMP instant read as UTC, independent
-    of the session time zone (event-time watermarks need an instant)."""
-    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), col_(ts))
-    return F.timestamp_micros(micros)
+    """Wall-clock TIMESTAMP_NTZ → TIMESTAMP instant read as UTC, independent of
+    the session time zone (a stream's event time needs an instant)."""
+    since = _wall(ts) - F.lit(_EPOCH_NTZ).cast("timestamp_ntz")
+    minutes = ((F.extract(F.lit("DAY"), since).cast("long") * 24
+                + F.extract(F.lit("HOUR"), since)) * 60 + F.extract(F.lit("MINUTE"), since))
+    micros = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long")
+    return F.timestamp_micros(minutes * 60_000_000 + micros)
 
 
 def instant_to_ntz(ts: str | Column) -> Column:
