@@ -1,6 +1,6 @@
 """Registered queries for the reference's claimed-only items: streaming KPIs
-(STR1, exact oracle on the count / sum columns) and K-Means (KM1, rows
-only)."""
+(STR1, exact oracle on the count / sum columns) and K-Means (KM1: the oracle
+checks what holds for any fit)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from tillroll.operators.clean import clean_transactions
 from tillroll.operators.clusters import cluster_profile, kmeans_segments
 from tillroll.operators.rfm import rfm_notebook
 from tillroll.plans.catalog import register, ts_text
+from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
+from tillroll.plans.q_segmentation import RFM_CTE
 from tillroll.session import scratch_path
 from tillroll.sources.retail import load_retail
 from tillroll.sources.tables import materialized
@@ -45,11 +47,22 @@ def kmeans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         rfm_notebook(clean_transactions(load_retail(spark, sf_dir)))))
 
 
-@register("km1_kmeans_segments")
+@register("km1_kmeans_segments", with_ctes(RETAIL_CTE, CLEAN_CTE, RFM_CTE, body="""
+SELECT CustomerID, Recency, Frequency, Monetary, 1 AS cluster_in_range FROM rfm"""))
 def q_km1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans_table(spark, sf_dir)
+    """KM1: every customer once, in one of the four clusters."""
+    return kmeans_table(spark, sf_dir).select(
+        "CustomerID", "Recency", "Frequency", "Monetary",
+        F.col("cluster").between(0, 3).cast("int").alias("cluster_in_range"))
 
 
-@register("km1_kmeans_profile")
+@register("km1_kmeans_profile", with_ctes(RETAIL_CTE, CLEAN_CTE, RFM_CTE, body="""
+SELECT CAST(COUNT(*) AS BIGINT) AS customers, 1 AS up_to_four, 1 AS means_agree FROM rfm"""))
 def q_km1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_profile(kmeans_table(spark, sf_dir))
+    """KM1: cluster sizes add up, and their means weigh up to the mean of all."""
+    table = kmeans_table(spark, sf_dir)
+    mean = table.agg(F.avg("Recency")).scalar()
+    weighed = F.sum(F.col("mean_recency") * F.col("customers")) / F.sum("customers")
+    return cluster_profile(table).agg(
+        F.sum("customers").alias("customers"), F.count("*").between(1, 4).cast("int").alias("up_to_four"),
+        (F.abs(weighed - mean) < 1e-6).cast("int").alias("means_agree"))

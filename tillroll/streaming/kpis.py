@@ -1,11 +1,14 @@
 """Structured Streaming KPIs over the event stream (STR1, the claimed
 "real-time KPIs").
 
-File source → watermark → Monday-aligned weekly tumbling windows per event
-type → update-mode micro-batches upserted into a result folder.  Each
-micro-batch is written under its batch id through ``foreachBatch``; the
-reader keeps the latest version of every window, so a re-run batch (after a
-failure, with the checkpoint) overwrites rather than duplicates.
+File source → Monday-aligned weekly tumbling windows per event type →
+update-mode micro-batches upserted into a result folder.  Each micro-batch is
+written under its batch id through ``foreachBatch``; the reader keeps the latest
+version of every window, so a re-run batch (after a failure, with the
+checkpoint) overwrites rather than duplicates.
+
+There is no watermark: its only use would be to drop state, and with it events
+that arrive late.  The state has a row for each calendar week and event type.
 """
 
 from __future__ import annotations
@@ -14,24 +17,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import instant_to_ntz, ntz_to_instant
+from tillroll.session import is_directory, path_exists
 from tillroll.sources.schema import EVENTS_SCHEMA
 
 # Epoch (1970-01-01) was a Thursday: a 4-day offset starts windows on Monday.
 WEEK = "7 days"
 MONDAY_OFFSET = "4 days"
+KPI_SCHEMA = ("window_start timestamp_ntz, window_end timestamp_ntz, event_type string, "
+              "events bigint, total_value decimal(28,2), purchases bigint")
 
 
 def event_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of event parquet files with the declared schema."""
-    reader = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob))
+    """Streaming read of event parquet files with the declared schema.  ``file_glob``
+    picks files of the folder; where it names a folder inside (a table written
+    by Spark), that folder's files are the stream."""
+    inner = f"{source_dir}/{file_glob}"
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(source_dir)
+    if "*" not in file_glob and is_directory(spark, inner):
+        return reader.parquet(inner)
+    return reader.option("pathGlobFilter", file_glob).parquet(source_dir)
 
 
-def weekly_kpis(events: DataFrame, watermark: str = "1 day",
-                approx_users: bool = True) -> DataFrame:
+def weekly_kpis(events: DataFrame, approx_users: bool = True) -> DataFrame:
     """Per Monday-start week and event type: events, exact value total (cents),
     purchases and (approximate — exact distinct is not supported in streaming
     aggregation) distinct users."""
@@ -41,8 +51,7 @@ def weekly_kpis(events: DataFrame, watermark: str = "1 day",
     if approx_users:
         aggs.append(F.approx_count_distinct("user_id").alias("approx_users"))
     timed = events.withColumn("event_time", ntz_to_instant("ts"))
-    return (timed.withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", WEEK, WEEK, MONDAY_OFFSET).alias("w"), "event_type")
+    return (timed.groupBy(F.window("event_time", WEEK, WEEK, MONDAY_OFFSET).alias("w"), "event_type")
             .agg(*aggs)
             .select(instant_to_ntz("w.start").alias("window_start"),
                     instant_to_ntz("w.end").alias("window_end"),
@@ -69,7 +78,10 @@ def run_to_table(kpis: DataFrame, out_dir: str, checkpoint_dir: str,
 
 def read_latest(spark: SparkSession, out_dir: str,
                 keys: tuple[str, ...] = ("window_start", "event_type")) -> DataFrame:
-    """Current state of the KPI table: the latest batch's row per key."""
+    """Current state of the KPI table: the latest batch's row per key (none before
+    the first batch)."""
+    if not path_exists(spark, out_dir):
+        return spark.createDataFrame([], KPI_SCHEMA)
     df = spark.read.parquet(out_dir)
     w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch_id")
