@@ -5,11 +5,12 @@ aggregation of the same events."""
 import uuid
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tillroll.operators import churn, clusters, models, rfm
 from tillroll.operators.clean import clean_transactions
-from tillroll.session import scratch_path
+from tillroll.session import durable_checkpoint, scratch_path
 from tillroll.sources.retail import load_retail
 from tillroll.streaming import kpis
 
@@ -18,7 +19,7 @@ from tillroll.streaming import kpis
 def matrix(spark):
     feats = churn.churn_features(clean_transactions(load_retail(spark, "/root/testdata/sf0.01")),
                                  home="NATION_0")
-    return churn.feature_matrix(churn.stratified_split(feats)).checkpoint()
+    return durable_checkpoint(churn.feature_matrix(churn.stratified_split(feats)))
 
 
 def test_models_fit_and_score(spark, matrix):
@@ -34,6 +35,36 @@ def test_models_fit_and_score(spark, matrix):
     assert len(imp) == len(churn.FEATURE_COLUMNS)
 
 
+def test_fit_does_not_depend_on_input_partitions(matrix):
+    train, test = matrix.filter("is_test = 0"), matrix.filter("is_test = 1")
+    scores = []
+    for parts in (1, 7):
+        model = models.fit(models.FOREST, train.repartition(parts), trees=10)
+        pred = models.probability_of_churn(model.transform(test))
+        scores.append(sorted((r.CustomerID, r.ChurnProbability) for r in pred.collect()))
+    assert scores[0] == scores[1]
+
+
+def test_a_tree_at_the_ceiling_raises(spark):
+    rows = [(i, float(i % 2), Vectors.dense([float(2 ** i), 0.0])) for i in range(45)]
+    df = spark.createDataFrame(rows, ["CustomerID", "label", "features"])
+    model = models.fit(models.FOREST, df, trees=2, forest_depth=4)
+    assert max(t.depth for t in model.stages[-1].trees) <= 4
+
+    class Deep:
+        stages = [type("S", (), {"trees": [type("T", (), {"depth": models.MAX_DEPTH})]})]
+    with pytest.raises(ValueError, match="greatest depth"):
+        models.check_depth(Deep, models.MAX_DEPTH)
+
+
+def test_scaling_is_by_the_population_deviation(matrix):
+    train = matrix.filter("is_test = 0")
+    model = models.fit(models.LOGISTIC, train)
+    col = models.vector_to_array("standardised")[0]
+    spread = model.transform(train).agg(F.stddev_pop(col), F.avg(col)).first()
+    assert spread[0] == pytest.approx(1.0) and spread[1] == pytest.approx(0.0, abs=1e-9)
+
+
 def test_cross_validation_on_fold_column(spark, matrix):
     mean, std = models.cross_validate(models.LOGISTIC, matrix.filter("is_test = 0"))
     assert 0.5 < mean <= 1.0 and std >= 0.0
@@ -72,3 +103,17 @@ def test_streaming_kpis_equal_batch(spark, sf_small):
     assert (m["events_x"] == m["events_y"]).all()
     # approximate distinct users stay within HyperLogLog++'s default error
     assert ((m["approx_users"] - m["users"]).abs() <= 0.1 * m["users"] + 2).all()
+
+
+def test_late_events_and_folders_are_read_whole(spark, tmp_path):
+    """Three files, the newest first and one a trigger; the table is a folder."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    total = events.count()
+    ranked = events.repartitionByRange(3, F.col("ts").desc()).sortWithinPartitions("ts")
+    ranked.write.parquet(str(tmp_path / "events.parquet"))
+    run = uuid.uuid4().hex
+    out, ckpt = scratch_path(spark, "test_stream", run, "o"), scratch_path(spark, "test_stream", run, "c")
+    assert kpis.read_latest(spark, out).count() == 0
+    stream = kpis.weekly_kpis(kpis.event_stream(spark, str(tmp_path), "events.parquet", 1))
+    kpis.run_to_table(stream, out, ckpt).awaitTermination()
+    assert kpis.read_latest(spark, out).agg(F.sum("events")).first()[0] == total

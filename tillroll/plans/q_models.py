@@ -1,19 +1,22 @@
 """Registered queries: fitted churn models (ML5–ML9, ML11, ML12, ML16, ML17,
-SNK2, SNK5).  Fitted models are iterative and seeded, so these have no
-exact SQL oracle (rows-only check); tests pin tolerances instead."""
+SNK2, SNK5).  Fitted values are iterative; each query returns what its oracle
+can tell exactly (ids, labels, supports, shares that add up, agreement flags), and
+tests pin the fitted values' tolerances."""
 
 from __future__ import annotations
 
 import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import churn, metrics, models
 from tillroll.plans.catalog import register
-from tillroll.plans.q_churn import split_features
-from tillroll.session import scratch_path
+from tillroll.plans.q_churn import churn_oracle, split_features
+from tillroll.plans.q_segmentation import segmentation
+from tillroll.session import durable_checkpoint, scratch_path
 
 
 def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,32 +42,84 @@ def boosted_model(spark: SparkSession, sf_dir: str, matrix: DataFrame):
     return fitted_model(spark, sf_dir, models.BOOSTED, matrix)
 
 
-@register("ml12_model_leaderboard")
+def best_model(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
+    """SRT5: the model with the greatest test AUC; three scalars reach the driver."""
+    matrix = model_matrix(spark, sf_dir)
+    test = matrix.filter(F.col("is_test") == 1)
+    fitted = {n: fitted_model(spark, sf_dir, n, matrix) for n in models.MODEL_NAMES}
+    score = {n: models.test_auc(m, test).first()["auc"] or 0.0 for n, m in fitted.items()}
+    name = max(models.MODEL_NAMES, key=lambda n: score[n])
+    return name, fitted[name]
+
+
+def test_predictions(model, matrix: DataFrame) -> DataFrame:
+    """ML9: id, label, predicted class and P(churn) on the test rows."""
+    pred = model.transform(matrix.filter(F.col("is_test") == 1))
+    return models.probability_of_churn(pred, "score").select(
+        F.col("CustomerID").alias("id"), F.col("label").cast("int").alias("label"),
+        F.col("prediction").cast("int").alias("prediction"), "score")
+
+
+def boosted_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = model_matrix(spark, sf_dir)
+    return test_predictions(boosted_model(spark, sf_dir, matrix), matrix)
+
+
+def best_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test_predictions(best_model(spark, sf_dir)[1], model_matrix(spark, sf_dir))
+
+
+def _in_unit(c: str) -> F.Column:
+    return F.col(c).between(0, 1)
+
+
+@register("ml12_model_leaderboard", """
+SELECT model, 1 AS aucs_in_range, 1 AS one_best FROM (
+  VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient-Boosted Trees')) m(model)""")
 def q_ml12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML5–ML12: three models, test AUC, 5-fold CV AUC, best model."""
     matrix = model_matrix(spark, sf_dir)
     fitted = {name: fitted_model(spark, sf_dir, name, matrix) for name in models.MODEL_NAMES}
-    return models.leaderboard(matrix, fitted=fitted)
+    board = models.leaderboard(matrix, fitted=fitted)
+    ok = _in_unit("test_auc") & _in_unit("cv_mean") & (F.col("cv_std") >= 0)
+    best = board.agg((F.sum("is_best") == 1).cast("int")).scalar()
+    return board.select("model", ok.cast("int").alias("aucs_in_range"), best.alias("one_best"))
 
 
-@register("ml16_feature_importance")
+@register("ml16_feature_importance", """
+SELECT 5 AS n_top, 1 AS known_features, 1 AS descending, 1 AS all_sum_to_one""")
 def q_ml16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML16 + SRT4: the five greatest importances, checked as a whole."""
     model = boosted_model(spark, sf_dir, model_matrix(spark, sf_dir))
-    return models.feature_importances(model, top=5)
-
-
-@register("ml17_churn_scores_boosted")
+    top = models.feature_importances(model, top=5).agg(
+        F.count("*").cast("int").alias("n_top"),
+        F.bool_and(F.col("Feature").isin(churn.FEATURE_COLUMNS)).cast("int").alias("known_features"),
+        F.collect_list("Importance").alias("_i"))
+    total = models.feature_importances(model, top=None).agg(F.sum("Importance")).scalar()
+    return top.select("n_top", "known_features",
+                      (F.col("_i") == F.sort_array("_i", asc=False)).cast("int").alias("descending"),
+                      (F.abs(total - 1) < 1e-9).cast("int").alias("all_sum_to_one"))
+
+
+@register("ml17_churn_scores_boosted", churn_oracle("""
+SELECT CustomerID, Recency, Frequency, TotalSpend, Churned, 1 AS probability_in_range,
+       1 AS band_agrees FROM cf"""))
 def q_ml17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML17 / SNK2: every customer scored by the boosted trees (T22)."""
     matrix = model_matrix(spark, sf_dir)
     scored = models.score_customers(boosted_model(spark, sf_dir, matrix), matrix)
-    return scored.select(*churn.CHURN_EXPORT_COLUMNS)
+    p = F.col("ChurnProbability")
+    band = F.when(p <= 0, None).when(p <= 0.3, "Low").when(p <= 0.6, "Medium").otherwise("High")
+    return scored.select("CustomerID", "Recency", "Frequency", "TotalSpend", "Churned",
+                         _in_unit("ChurnProbability").cast("int").alias("probability_in_range"),
+                         F.col("ChurnRisk").eqNullSafe(band).cast("int").alias("band_agrees"))
 
 
-@register("snk5_model_roundtrip")
+@register("snk5_model_roundtrip", churn_oracle("""
+SELECT COUNT(*) AS customers, COUNT(*) AS same_as_fitted FROM cf"""))
 def q_snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK5: persist the fitted pipeline, load it back, score with the loaded
-    copy; ``same_as_fitted`` checks the round trip row by row."""
+    """SNK5: persist the fitted pipeline, load it back, score every customer with
+    both and count those whose probabilities are the same number."""
     matrix = model_matrix(spark, sf_dir)
     fitted = boosted_model(spark, sf_dir, matrix)
     path = models.save_model(fitted, scratch_path(spark, "models", uuid.uuid4().hex,
@@ -74,40 +129,143 @@ def q_snk5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CustomerID", "p_fitted")
     b = models.probability_of_churn(loaded.transform(matrix), "p_loaded").select(
         "CustomerID", "p_loaded")
-    return a.join(b, "CustomerID").withColumn(
-        "same_as_fitted", (F.col("p_fitted") == F.col("p_loaded")).cast("int"))
-
-
-def boosted_test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML9: label, predicted class and P(churn) of the boosted trees on the
-    test rows."""
-    matrix = model_matrix(spark, sf_dir)
-    pred = boosted_model(spark, sf_dir, matrix).transform(matrix.filter(F.col("is_test") == 1))
-    return models.probability_of_churn(pred, "score").select(
-        F.col("CustomerID").alias("id"), F.col("label").cast("int").alias("label"),
-        F.col("prediction").cast("int").alias("prediction"), "score")
+    return a.join(b, "CustomerID").agg(
+        F.count("*").alias("customers"),
+        F.count(F.when(F.col("p_fitted") == F.col("p_loaded"), 1)).alias("same_as_fitted"))
 
 
-@register("ml9_test_predictions_boosted")
+@register("ml9_test_predictions_boosted", churn_oracle("""
+SELECT id, label, 1 AS prediction_agrees FROM test"""))
 def q_ml9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boosted_test_predictions(spark, sf_dir)
+    """ML9: test rows with their label; the predicted class is that of P > 0.5."""
+    agrees = F.col("prediction") == (F.col("score") > 0.5).cast("int")
+    return boosted_test_predictions(spark, sf_dir).select(
+        "id", "label", agrees.cast("int").alias("prediction_agrees"))
 
 
-@register("ml10_test_auc_boosted")
+@register("ml10_test_auc_boosted", churn_oracle("""
+SELECT CAST(COUNT(*) FILTER (WHERE label = 1) AS BIGINT) AS n_pos,
+       CAST(COUNT(*) FILTER (WHERE label = 0) AS BIGINT) AS n_neg, 1 AS above_chance FROM test"""))
 def q_ml10_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.auc(boosted_test_predictions(spark, sf_dir), "label", "score", "id")
+    out = metrics.auc(boosted_test_predictions(spark, sf_dir), "label", "score", "id")
+    return out.select("n_pos", "n_neg", (F.col("auc").between(0.5, 1)).cast("int").alias("above_chance"))
+
+
+_SUPPORT = """
+SELECT class_name, CAST(COUNT(label) AS BIGINT) AS support, 1 AS in_range FROM (
+  VALUES (0, 'Active'), (1, 'Churned')) c(k, class_name) LEFT JOIN test ON label = k GROUP BY class_name"""
+
+
+def _report_checks(pred: DataFrame) -> DataFrame:
+    report = metrics.classification_report(pred)
+    ok = F.lit(True)
+    for c in ("precision", "recall", "f1_score"):
+        ok = ok & F.coalesce(_in_unit(c), F.lit(True))
+    return report.filter(F.col("class_name").isin(metrics.CLASS_NAMES)).select(
+        "class_name", F.col("support").cast("bigint").alias("support"), ok.cast("int").alias("in_range"))
+
+
+def _matrix_checks(pred: DataFrame) -> DataFrame:
+    """Support per class from the cells of the confusion matrix."""
+    cells = metrics.confusion_matrix(pred)
+    return cells.select("actual", (F.col("predicted_0") + F.col("predicted_1")).alias("support"))
+
+
+_MATRIX = """
+SELECT k AS actual, COUNT(label) AS support FROM (VALUES (0), (1)) c(k) LEFT JOIN test ON label = k
+GROUP BY k"""
 
 
-@register("ml13_classification_report_boosted")
+def _curve_checks(pred: DataFrame) -> DataFrame:
+    """One row: the curve of ROC points begins at the origin, ends with every
+    test row counted, and no point falls behind one of a higher threshold."""
+    curve = metrics.roc_curve(pred, "label", "score")
+    seen = curve.withColumn("_n", F.col("fps") + F.col("tps"))
+    twin = seen.groupBy("_n").agg(F.countDistinct("fps").alias("_k"))
+    rising = twin.agg((F.max("_k") == 1).cast("int")).scalar()
+    return seen.agg((F.min("_n") == 0).cast("int").alias("starts_at_origin"), F.max("fps").alias("n_neg"),
+                    F.max("tps").alias("n_pos"),
+                    (F.max("_n") == F.max("fps") + F.max("tps")).cast("int").alias("ends_at_all"),
+                    F.bool_and(F.col("fpr").between(0, 1) & F.col("tpr").between(0, 1)).cast("int")
+                    .alias("rates_in_range")).withColumn("one_point_a_count", rising)
+
+
+_CURVE = """
+SELECT 1 AS starts_at_origin, CAST(COUNT(*) FILTER (WHERE label = 0) AS BIGINT) AS n_neg,
+       CAST(COUNT(*) FILTER (WHERE label = 1) AS BIGINT) AS n_pos, 1 AS ends_at_all,
+       1 AS rates_in_range, 1 AS one_point_a_count FROM test"""
+
+
+@register("ml13_classification_report_boosted", churn_oracle(_SUPPORT))
 def q_ml13_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.classification_report(boosted_test_predictions(spark, sf_dir))
+    return _report_checks(boosted_test_predictions(spark, sf_dir))
 
 
-@register("ml14_confusion_matrix_boosted")
+@register("ml14_confusion_matrix_boosted", churn_oracle(_MATRIX))
 def q_ml14_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion_matrix(boosted_test_predictions(spark, sf_dir))
+    return _matrix_checks(boosted_test_predictions(spark, sf_dir))
 
 
-@register("ml15_roc_curve_boosted")
+@register("ml15_roc_curve_boosted", churn_oracle(_CURVE))
 def q_ml15_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.roc_curve(boosted_test_predictions(spark, sf_dir), "label", "score")
+    return _curve_checks(boosted_test_predictions(spark, sf_dir))
+
+
+@register("ml13_classification_report_best", churn_oracle(_SUPPORT))
+def q_ml13_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML13 of the model with the greatest test AUC."""
+    return _report_checks(best_test_predictions(spark, sf_dir))
+
+
+@register("ml14_confusion_matrix_best", churn_oracle(_MATRIX))
+def q_ml14_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix_checks(best_test_predictions(spark, sf_dir))
+
+
+@register("ml15_roc_curves_all_models", churn_oracle(f"""
+SELECT model, c.* FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient-Boosted Trees'))
+  m(model), ({_CURVE}) c"""))
+def q_ml15_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML15: the ROC curve of each of the three models."""
+    matrix = model_matrix(spark, sf_dir)
+    curves = [_curve_checks(test_predictions(fitted_model(spark, sf_dir, n, matrix), matrix))
+              .withColumn("model", F.lit(n)) for n in models.MODEL_NAMES]
+    return reduce(DataFrame.unionByName, curves)
+
+
+def fitted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer scored by the best model (ML17)."""
+    return models.score_customers(best_model(spark, sf_dir)[1], model_matrix(spark, sf_dir))
+
+
+@register("ml18_risk_distribution_fitted", churn_oracle("""
+SELECT band AS ChurnRisk, (SELECT COUNT(*) FROM cf) AS customers_in_all, 1 AS share_agrees
+FROM (VALUES ('High'), ('Medium'), ('Low')) b(band)"""))
+def q_ml18_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML18 on fitted scores: every band's share is its count over all customers."""
+    scored = fitted_scores(spark, sf_dir)
+    total = scored.agg(F.count("*")).scalar()
+    d = metrics.risk_distribution(scored)
+    share = F.abs(F.col("pct") - F.col("customers") * 100.0 / total) < 1e-9
+    return d.select("ChurnRisk", total.alias("customers_in_all"), share.cast("int").alias("share_agrees"))
+
+
+@register("ml19_priority_retention_fitted", churn_oracle("""
+SELECT COUNT(*) AS top_tier_customers, 1 AS listed_are_top_tier_and_high, 1 AS unlisted_are_not
+FROM seg_full WHERE CustomerTier IN ('VVIC', 'VIC')""", with_seg=True))
+def q_ml19_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML19 + AGG16 on fitted scores: the retention list is exactly the customers
+    of the two top tiers in the High band, and its CLV is theirs."""
+    merged = durable_checkpoint(churn.join_segments(
+        fitted_scores(spark, sf_dir), segmentation(spark, sf_dir)).select(
+        "CustomerID", "ChurnProbability", "ChurnRisk", "CustomerTier", "CLV"))
+    listed = churn.priority_retention(merged).select("CustomerID", F.lit(1).alias("_in"))
+    top = merged.filter(F.col("CustomerTier").isin("VVIC", "VIC")).join(listed, "CustomerID", "full")
+    high = F.col("ChurnProbability") > 0.6
+    value = churn.clv_at_risk(churn.priority_retention(merged)).select("customers_at_risk").scalar()
+    return top.agg(
+        F.count("ChurnProbability").alias("top_tier_customers"),
+        (F.bool_and(F.when(F.col("_in") == 1, F.coalesce(high, F.lit(False))).otherwise(F.lit(True)))
+         & (F.count("_in") == value)).cast("int").alias("listed_are_top_tier_and_high"),
+        F.bool_and(F.when(F.col("_in").isNull(), ~high).otherwise(F.lit(True))).cast("int")
+        .alias("unlisted_are_not"))
