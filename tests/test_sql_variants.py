@@ -1,59 +1,53 @@
-"""The six SQL feature queries (Spark SQL text, plain windows) agree with the
-scalable DataFrame operators; the plain-window statement is the oracle of
-the range-partitioned ranking."""
+"""The SQL-variant reports: exact tiles against pandas, options, hot customers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import rfm, sales
-from tillroll.plans.feature_queries import run_feature_query
 from tillroll.sources.retail import register_retail
 
 AS_OF = "2001-08-02"
 
 
-def _same(a, b, cols):
-    pa = a.select(*cols).toPandas().sort_values(cols[0]).reset_index(drop=True)
-    pb = b.select(*cols).toPandas().sort_values(cols[0]).reset_index(drop=True)
-    assert pa.equals(pb)
-
-
 @pytest.fixture(scope="module")
 def retail(spark, sf_small):
     return register_retail(spark, sf_small, "online_retail")
 
 
-def test_rfm_scores_sql_text_equals_scalable(spark, retail):
-    text = run_feature_query(spark, "rfm_scores", AS_OF)
-    scalable = rfm.customer_rfm_scored(retail, AS_OF)
-    _same(text, scalable, ["customer_id", "recency", "frequency", "monetary", "r_score",
-                           "f_score", "m_score"])
+def _tiles(pdf, by, ascending):
+    """NTILE(5): five runs of the sorted rows, the first ones longer by one."""
+    order = pdf.sort_values([by, "customer_id"], ascending=[ascending, True]).index
+    out = np.empty(len(pdf), dtype=int)
+    for k, part in enumerate(np.array_split(order.to_numpy(), 5), start=1):
+        out[part] = k
+    return out
+
 
+def _check_scores(lines):
+    got = rfm.customer_rfm_scored(lines, AS_OF).toPandas().sort_values("customer_id").reset_index(drop=True)
+    assert len(got)
+    for score, by, ascending in (("r_score", "recency", False), ("f_score", "frequency", True),
+                                 ("m_score", "monetary", True)):
+        assert got[score].tolist() == _tiles(got, by, ascending).tolist()
 
-def test_customer_tiers_chain(spark, retail):
-    rfm.customer_rfm_scored(retail, AS_OF).createOrReplaceTempView("customer_rfm_scored")
-    text = run_feature_query(spark, "customer_tiers")
-    api = rfm.tiers_sql(rfm.customer_rfm_scored(retail, AS_OF))
-    _same(text, api, ["customer_id", "customer_tier"])
 
+def test_scores_are_exact_tiles(retail):
+    _check_scores(retail)
 
-@pytest.mark.parametrize("name,fn,cols", [
-    ("churn_indicators", lambda df: sales.churn_indicators_sql(df, AS_OF),
-     ["customer_id", "days_since_purchase", "is_churned", "total_orders", "lifetime_value"]),
-    ("weekly_sales", sales.weekly_sales_sql,
-     ["week_start", "revenue", "transactions", "unique_customers", "avg_order_value"]),
-    ("product_performance", sales.product_performance,
-     ["stock_code", "description", "order_count", "units_sold", "revenue", "unique_buyers"]),
-    ("geographic_analysis", sales.geographic_analysis,
-     ["country", "customers", "orders", "revenue", "avg_customer_value"]),
-])
-def test_sql_text_equals_dataframe_api(spark, retail, name, fn, cols):
-    _same(run_feature_query(spark, name, AS_OF), fn(retail), cols)
 
+def test_tiers_follow_the_scores(retail):
+    scored = rfm.customer_rfm_scored(retail, AS_OF)
+    tiers = rfm.tiers_sql(scored).select("customer_id", "customer_tier")
+    for r in scored.join(tiers, "customer_id").collect():
+        low = min(r.r_score, r.f_score, r.m_score)
+        want = ("VVIC" if low >= 4 else "VIC" if low == 3 else
+                "Prestige" if r.m_score >= 3 or min(r.r_score, r.f_score) >= 2 else "One-time")
+        assert r.customer_tier == want
 
-def test_current_date_default(spark, retail):
-    row = run_feature_query(spark, "churn_indicators").agg({"days_since_purchase": "min"}).first()
-    assert row[0] > 0
+
+def test_current_date_default(retail):
+    assert sales.churn_indicators_sql(retail).agg(F.min("days_since_purchase")).first()[0] > 0
 
 
 def test_approximate_distinct_option_is_close(retail):
@@ -65,20 +59,11 @@ def test_approximate_distinct_option_is_close(retail):
         .executedPlan().toString()
 
 
-def test_scalable_scores_under_a_hot_customer(spark, retail):
-    """A third of all lines moved to one customer: the range-partitioned scores
-    still equal the plain-window statement."""
-    skewed = retail.withColumn(
+def test_scores_under_a_hot_customer(retail):
+    """A third of all lines moved to one customer."""
+    _check_scores(retail.withColumn(
         "customer_id", F.when(F.abs(F.hash("invoice", "stock_code")) % 3 == 0, F.lit(1))
-        .otherwise(F.col("customer_id")))
-    skewed.createOrReplaceTempView("online_retail")
-    try:
-        text = run_feature_query(spark, "rfm_scores", AS_OF)
-        scalable = rfm.customer_rfm_scored(skewed, AS_OF)
-        _same(text, scalable, ["customer_id", "recency", "frequency", "monetary", "r_score",
-                               "f_score", "m_score"])
-    finally:
-        retail.createOrReplaceTempView("online_retail")
+        .otherwise(F.col("customer_id"))))
 
 
 def test_notebook_scores_under_a_hot_customer_match_pandas(spark, retail):
