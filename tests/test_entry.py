@@ -10,6 +10,5 @@ def test_entry_runs_on_smoke_data(spark):
 
 
 def test_registered_keys_are_lower_case_ids():
-    for key in entry.queries():
-        assert key == key.lower()
-        assert not key.startswith("op")
+    assert all(key == key.lower() for key in entry.queries())
+    assert not any(key.startswith("op") for key in entry.registry.QUERIES)

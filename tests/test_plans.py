@@ -47,13 +47,21 @@ def test_global_rank_is_range_partitioned_and_single_partition_only_on_counts(li
     assert "HashAggregate(keys=[_pid" in single
 
 
-def test_no_sort_aggregate_over_lines(lines):
+def test_no_expand_over_lines(lines):
+    """Lines are grouped once; distinct counts read what is left."""
+    from tillroll.operators import timeseries as ts
     c = clean_transactions(lines)
-    p = plan(churn.first_country(c))
-    # the sort-based min_by only runs above the hash-aggregated (customer, country) pairs
-    sort_at = p.find("SortAggregate")
-    hash_at = p.find("HashAggregate(keys=[customer_id")
-    assert sort_at != -1 and hash_at > sort_at
+    orders, daily = plan(churn.customer_orders(c)), plan(ts.daily_exact(c, "country", with_total=True))
+    assert "Expand" not in orders and "SortAggregate" not in orders
+    assert "Expand" not in daily
+
+
+def test_running_sums_move_the_table_once(spark):
+    from tillroll.operators.metrics import roc_curve
+    df = spark.range(1000).selectExpr("id", "id % 2 AS label", "id / 1000 AS score")
+    p = plan(roc_curve(df))
+    data = p.partition("BroadcastExchange")[0]
+    assert "hashpartitioning(_pid" not in data and "Window" not in data
 
 
 def test_top_products_is_take_ordered(lines):

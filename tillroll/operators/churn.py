@@ -7,7 +7,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import (
@@ -17,6 +17,7 @@ from tillroll.operators.metrics import CLASS_NAMES
 from tillroll.operators.ranking import RANK, TOTAL, global_rank
 from tillroll.operators.reports import distribution
 from tillroll.operators.rfm import reference_date
+from tillroll.session import durable_checkpoint
 
 # --- fixed values that must equal the reference's ---------------------------
 # Model feature columns, in the reference's order.
@@ -28,36 +29,47 @@ CHURN_EXPORT_COLUMNS = ["CustomerID", "Recency", "Frequency", "TotalSpend", "Chu
 # -----------------------------------------------------------------------------
 
 
-def first_country(clean: DataFrame) -> DataFrame:
-    """Country of each customer's earliest line — a deterministic stand-in for
-    pandas 'first' (ties on the timestamp broken by country name).
+def _sample_std(n: str, total: str, squares: str) -> Column:
+    """Sample deviation of amounts from exact sums of thousandths and of their
+    squares: one division and one root at the end.  NULL for fewer than two."""
+    spread = F.col(n) * F.col(squares) - F.col(total) * F.col(total)
+    pairs = (F.col(n) * (F.col(n) - 1)).cast("double")
+    # As high and low parts, which every engine turns into the same double.
+    low = spread % (1 << 32)
+    high = ((spread - low) / (1 << 32)).cast("decimal(38,0)").cast("double")
+    return F.when(F.col(n) > 1, F.sqrt((high * float(1 << 32) + low.cast("double")) / pairs) / 1000.0)
 
-    Lines are first reduced to (customer, country) pairs with a hash
-    aggregate; only that customer-grain table goes through ``min_by`` (whose
-    string buffer would force a sort-based aggregate over every line)."""
-    pairs = clean.groupBy("customer_id", "country").agg(F.min("invoice_date").alias("_ts"))
-    return pairs.groupBy("customer_id").agg(
-        F.min_by("country", F.struct("_ts", "country")).alias("Country"))
+
+def customer_orders(clean: DataFrame) -> DataFrame:
+    """Lines reduced to (customer, invoice, country): count, exact sums, times."""
+    milli = (F.col("amount") * 1000).cast("decimal(19,0)")
+    return clean.groupBy("customer_id", "invoice", "country").agg(
+        F.min("invoice_date").alias("_first"), F.max("invoice_date").alias("_last"),
+        F.sum("amount").alias("_spend"), F.count("amount").alias("_lines"),
+        F.sum(milli).cast("decimal(38,0)").alias("_x"),
+        F.sum((milli * milli).cast("decimal(38,0)")).alias("_xx"),
+        F.sum("quantity").cast("bigint").alias("_quantity"))
 
 
 def churn_features(clean: DataFrame, home: str = HOME_COUNTRY,
                    threshold: int = CHURN_THRESHOLD_DAYS) -> DataFrame:
     """AGG3 + ML1 + ML2: one row per customer with the reference's features.
 
-    One hash aggregation over the lines (two exact distinct counts via
-    Catalyst's Expand), the country pick on pre-aggregated pairs, a
-    checkpoint of the customer table, and the reference date from it."""
-    amount = F.col("amount").cast("double")
-    per = clean.groupBy("customer_id").agg(
-        F.min("invoice_date").alias("FirstPurchase"),
-        F.max("invoice_date").alias("LastPurchase"),
-        F.countDistinct("invoice").alias("Frequency"),
-        F.sum("amount").alias("_spend"),
-        F.count("amount").alias("_lines"),
-        F.stddev_samp(amount).alias("_std"),
-        F.sum("quantity").cast("bigint").alias("TotalQuantity"),
-        F.countDistinct("stock_code").alias("UniqueProducts"))
-    per = per.join(first_country(clean), "customer_id").checkpoint(eager=True)
+    The lines are aggregated twice, to orders and to (customer, product); all
+    else reads these smaller tables.  The country is that of the customer's
+    earliest line, ties broken by name (a deterministic stand-in for pandas
+    'first').  The customer table is checkpointed and gives the reference date."""
+    customers = customer_orders(clean).groupBy("customer_id").agg(
+        F.min("_first").alias("FirstPurchase"), F.max("_last").alias("LastPurchase"),
+        F.countDistinct("invoice").alias("Frequency"), F.sum("_spend").alias("_spend"),
+        F.sum("_lines").alias("_lines"), F.sum("_x").cast("decimal(38,0)").alias("_x"),
+        F.sum("_xx").cast("decimal(38,0)").alias("_xx"),
+        F.sum("_quantity").alias("TotalQuantity"),
+        F.min(F.struct("_first", "country"))["country"].alias("Country"))
+    products = (clean.groupBy("customer_id", "stock_code").agg(F.lit(1).alias("_one"))
+                .groupBy("customer_id").agg(F.count("stock_code").alias("UniqueProducts")))
+    per = durable_checkpoint(customers.withColumn("_std", _sample_std("_lines", "_x", "_xx"))
+                             .join(products, "customer_id"))
     ref = reference_date(per, "LastPurchase")
     out = per.select(
         F.col("customer_id").alias("CustomerID"), "FirstPurchase", "LastPurchase",
@@ -97,8 +109,7 @@ def stratified_split(df: DataFrame, label: str = "Churned", key: str = "Customer
     adds a stratified ``fold`` (0..folds−1) for cross-validation.
 
     Ranks within a class come from one global ranking (range-partitioned, no
-    single-task window); class offsets are a broadcast table with one row per
-    class (bounded by the label domain)."""
+    single-task window); class offsets are a table with one row per class."""
     frac = Fraction(test_size).limit_denominator(1000)
     ordered = df.withColumn("_h", split_hash(key, seed))
     ranked = global_rank(ordered, [label, "_h", key])
@@ -107,7 +118,7 @@ def stratified_split(df: DataFrame, label: str = "Churned", key: str = "Customer
     within = F.col(RANK) - F.col("_off")
     n_test = F.floor((F.col("_nc") * frac.numerator + frac.denominator - 1)
                      / frac.denominator)
-    return (ranked.join(F.broadcast(offsets), label)
+    return (ranked.join(offsets, label)
             .withColumn("is_test", (within <= n_test).cast("int"))
             .withColumn("fold", ((within - 1) % folds).cast("int"))
             .drop(RANK, TOTAL, "_off", "_nc", "_h"))

@@ -32,7 +32,7 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score",
     ranked = global_rank(scored.select(*gcols, label, score, key), [*gcols, score, key])
     if group:
         base = ranked.groupBy(group).agg((F.min(RANK) - 1).alias("_base"))
-        ranked = ranked.join(F.broadcast(base), group).withColumn(
+        ranked = ranked.join(base, group).withColumn(
             RANK, F.col(RANK) - F.col("_base"))
     ties = ranked.groupBy(*gcols, score).agg(
         (F.min(RANK) + F.max(RANK)).alias("_twice_mid"),

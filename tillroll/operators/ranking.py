@@ -19,10 +19,13 @@ The only broadcast is the offsets table, bounded by the partition count.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillroll.session import scratch_dir
+from tillroll.session import durable_checkpoint
 
 RANK = "_rank"
 TOTAL = "_n"
@@ -49,14 +52,13 @@ def global_rank(df: DataFrame, order: list[str | Column], rank_col: str = RANK,
     ``order`` must be unique per row (append a key column as tie-break) for
     the rank to be deterministic.
     """
-    scratch_dir(df.sparkSession)  # make sure a checkpoint dir is configured
     order = _sort_cols(order)
     pid = F.spark_partition_id().cast("bigint")
-    local = (_range(df, order, num_partitions)
-             .sortWithinPartitions(*order)
-             .withColumn("_pid", pid)
-             .withColumn("_lix", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
-             .checkpoint(eager=True))
+    local = durable_checkpoint(
+        _range(df, order, num_partitions)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", pid)
+        .withColumn("_lix", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -68,30 +70,46 @@ def global_rank(df: DataFrame, order: list[str | Column], rank_col: str = RANK,
             .drop("_pid", "_lix", "_off"))
 
 
+def _running_sums(cols: list[str]):
+    """Arrow function: running sums of integer columns over a whole partition."""
+    def run(batches):
+        held = dict.fromkeys(cols, 0)
+        for b in batches:
+            out = dict(zip(b.schema.names, b.columns, strict=True))
+            for c in cols:
+                sums = pc.cumulative_sum(out[c], start=held[c], skip_nulls=True)
+                sums = pc.fill_null_forward(sums)
+                out[f"_loc_{c}"] = pc.fill_null(sums, held[c])
+                if b.num_rows:
+                    held[c] = out[f"_loc_{c}"][-1].as_py()
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
 def global_cumsum(df: DataFrame, order: list[str | Column], sums: dict[str, str],
                   num_partitions: int | None = None) -> DataFrame:
-    """Running (inclusive) sums over a global order: ``sums`` maps output
-    column → input column.  Same range/offset scheme as ``global_rank``; the
-    in-partition running sum is a window over the partition id."""
-    scratch_dir(df.sparkSession)
+    """Running (inclusive) sums over a global order: ``sums`` maps output column
+    → integer input column (null counts as 0).  Same range/offset scheme as
+    ``global_rank``: each range sums its own rows before the checkpoint, so the
+    table moves once and only the offsets, a row per range, follow."""
     order = _sort_cols(order)
-    local = (_range(df, order, num_partitions)
-             .withColumn("_pid", F.spark_partition_id().cast("bigint"))
-             .checkpoint(eager=True))
-    run = Window.partitionBy("_pid").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    for out, src in sums.items():
-        local = local.withColumn(f"_loc_{out}", F.sum(src).over(run))
-    totals = local.groupBy("_pid").agg(*[F.sum(src).alias(f"_tot_{out}")
-                                         for out, src in sums.items()])
+    src = df.withColumns({f"_in_{out}": F.col(c).cast("bigint") for out, c in sums.items()})
+    cols = [f"_in_{out}" for out in sums]
+    ranged = (_range(src, order, num_partitions).sortWithinPartitions(*order)
+              .withColumn("_pid", F.spark_partition_id().cast("bigint")))
+    schema = T.StructType([*ranged.schema.fields,
+                           *[T.StructField(f"_loc_{c}", T.LongType()) for c in cols]])
+    local = durable_checkpoint(ranged.mapInArrow(_running_sums(cols), schema))
+    totals = local.groupBy("_pid").agg(*[F.sum(f"_in_{out}").alias(f"_tot_{out}") for out in sums])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[
         F.coalesce(F.sum(f"_tot_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
         for out in sums])
     res = local.join(F.broadcast(offsets), "_pid")
     for out in sums:
-        res = res.withColumn(out, F.col(f"_off_{out}") + F.col(f"_loc_{out}"))
-    return res.drop("_pid", *[f"_loc_{o}" for o in sums], *[f"_off_{o}" for o in sums])
+        res = res.withColumn(out, F.col(f"_off_{out}") + F.col(f"_loc__in_{out}"))
+    return res.drop("_pid", *cols, *[f"_loc_{c}" for c in cols], *[f"_off_{o}" for o in sums])
 
 
 def _idiv(a: Column, b: Column) -> Column:

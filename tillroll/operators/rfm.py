@@ -18,6 +18,7 @@ from tillroll.operators.ranking import (
     RANK, TOTAL, global_rank, ntile_from_rank, qcut_rank_first, value_quintile,
 )
 from tillroll.operators.sales import as_of_date
+from tillroll.session import durable_checkpoint
 
 
 def reference_date(customers: DataFrame, last_col: str = "_last") -> Column:
@@ -33,10 +34,10 @@ def rfm_notebook(clean: DataFrame) -> DataFrame:
     The invoice lines are aggregated once; the customer table is checkpointed
     and the reference date (a one-row broadcast) is taken from it, so the
     line-level aggregation is never repeated."""
-    per_cust = clean.groupBy("customer_id").agg(
+    per_cust = durable_checkpoint(clean.groupBy("customer_id").agg(
         F.max("invoice_date").alias("_last"),
         F.countDistinct("invoice").alias("Frequency"),
-        F.sum("amount").alias("_money")).checkpoint(eager=True)
+        F.sum("amount").alias("_money")))
     ref = reference_date(per_cust)
     return per_cust.select(
         F.col("customer_id").alias("CustomerID"),
@@ -118,7 +119,7 @@ def rfm_sql(transactions: DataFrame, as_of=None) -> DataFrame:
 def ntile_scores(rfm: DataFrame, tiles: int = 5) -> DataFrame:
     """WIN1: NTILE(tiles) for recency DESC, frequency ASC, monetary ASC with
     customer_id as the deterministic tie-break, via exact global ranks."""
-    out = rfm.checkpoint(eager=True)
+    out = durable_checkpoint(rfm)
     for name, order in (("r_score", [F.col("recency").desc(), F.col("customer_id").asc()]),
                         ("f_score", [F.col("frequency").asc(), F.col("customer_id").asc()]),
                         ("m_score", [F.col("monetary").asc(), F.col("customer_id").asc()])):

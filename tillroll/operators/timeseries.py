@@ -28,21 +28,23 @@ def _series_key(by: str | None) -> Column:
 
 def daily_exact(clean: DataFrame, by: str | None = None, with_total: bool = False) -> DataFrame:
     """Per series and day: exact revenue (decimal ``_rev``), distinct invoices,
-    distinct customers.  ``with_total`` adds the ``'ALL'`` series in the same
-    pass (grouping sets) instead of a second scan."""
-    day = F.to_date("invoice_date").alias("Date")
-    aggs = [F.sum("amount").cast(EXACT).alias("_rev"),
-            F.countDistinct("invoice").alias("Transactions"),
-            F.countDistinct("customer_id").alias("UniqueCustomers")]
+    distinct customers.  ``with_total`` adds the ``'ALL'`` series.
+
+    The lines are aggregated once, to (series, day, invoice, customer); sums and
+    both distinct counts come from that table, each through one more grouping,
+    and the total reads it a second time instead of the lines."""
+    base = clean.groupBy(_series_key(by).alias("series_key"), F.to_date("invoice_date").alias("Date"),
+                         "invoice", "customer_id").agg(F.sum("amount").cast(EXACT).alias("_rev"))
     if by is not None and with_total:
-        base = clean.select(F.col(by).cast("string").alias("_k"), day, "amount", "invoice",
-                            "customer_id")
-        grouped = base.groupingSets([["_k", "Date"], ["Date"]], "_k", "Date").agg(
-            *aggs, F.grouping("_k").alias("_g"))
-        return grouped.select(F.when(F.col("_g") == 1, F.lit(ALL)).otherwise(F.col("_k"))
-                              .alias("series_key"), "Date", "_rev", "Transactions",
-                              "UniqueCustomers")
-    return clean.groupBy(_series_key(by).alias("series_key"), day).agg(*aggs)
+        base = base.unionAll(base.withColumn("series_key", F.lit(ALL)))
+    day, none = ["series_key", "Date"], F.lit(0).cast("bigint")
+    invoices = base.groupBy(*day, "invoice").agg(F.sum("_rev").cast(EXACT).alias("_rev")).select(
+        *day, "_rev", F.col("invoice").isNotNull().cast("bigint").alias("_i"), none.alias("_c"))
+    customers = base.groupBy(*day, "customer_id").agg(F.lit(0).cast(EXACT).alias("_rev")).select(
+        *day, "_rev", none.alias("_i"), F.col("customer_id").isNotNull().cast("bigint").alias("_c"))
+    return invoices.unionAll(customers).groupBy(*day).agg(
+        F.sum("_rev").cast(EXACT).alias("_rev"), F.sum("_i").alias("Transactions"),
+        F.sum("_c").alias("UniqueCustomers"))
 
 
 def daily_sales(clean: DataFrame, by: str | None = None, with_total: bool = False) -> DataFrame:

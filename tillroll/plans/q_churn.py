@@ -4,6 +4,8 @@ JON1, AGG16, SNK2 columns).  Fitted models are in ``q_models``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tillroll.operators.clean import clean_transactions
 from tillroll.plans.catalog import TEST_HOME, register, ts_text
 from tillroll.plans.oracles import CLEAN_CTE, RETAIL_CTE, with_ctes
 from tillroll.plans.q_segmentation import RFM_CTE, SEG_CTE, segmentation
+from tillroll.session import scratch_path
 from tillroll.sources.retail import load_retail
+from tillroll.sources.sinks import write_table
 from tillroll.sources.tables import materialized
 
 CHURN_CTE = f"""
@@ -20,7 +24,9 @@ cf_base AS (
   SELECT customer_id AS CustomerID, MIN(invoice_date) AS FirstPurchase,
          MAX(invoice_date) AS LastPurchase, COUNT(DISTINCT invoice) AS Frequency,
          SUM(amount) AS spend, COUNT(amount) AS lines,
-         STDDEV_SAMP(CAST(amount AS DOUBLE)) AS std, CAST(SUM(quantity) AS BIGINT) AS TotalQuantity,
+         CAST(SUM(CAST(amount * 1000 AS HUGEINT)) AS HUGEINT) AS x,
+         CAST(SUM(CAST(amount * 1000 AS HUGEINT) * CAST(amount * 1000 AS HUGEINT)) AS HUGEINT) AS xx,
+         CAST(SUM(quantity) AS BIGINT) AS TotalQuantity,
          COUNT(DISTINCT stock_code) AS UniqueProducts,
          first(country ORDER BY invoice_date, country) AS Country
   FROM clean GROUP BY customer_id
@@ -30,7 +36,9 @@ cf AS (
   SELECT CustomerID, FirstPurchase, LastPurchase,
          date_sub('day', LastPurchase, ref_ts) AS Recency, Frequency,
          CAST(spend AS DOUBLE) AS TotalSpend, CAST(spend AS DOUBLE) / lines AS AvgOrderValue,
-         COALESCE(std, 0.0) AS StdOrderValue, TotalQuantity,
+         CASE WHEN lines > 1 THEN sqrt((CAST((lines * xx - x * x) // 4294967296 AS DOUBLE) * 4294967296.0::DOUBLE
+           + CAST((lines * xx - x * x) % 4294967296 AS DOUBLE)) / CAST(lines * (lines - 1) AS DOUBLE)) / 1000.0
+           ELSE 0.0 END AS StdOrderValue, TotalQuantity,
          CAST(TotalQuantity AS DOUBLE) / lines AS AvgQuantity, UniqueProducts, Country,
          date_sub('day', FirstPurchase, LastPurchase) AS CustomerAge,
          CAST(date_sub('day', FirstPurchase, LastPurchase) AS DOUBLE)
@@ -99,14 +107,14 @@ def fixed_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("agg3_churn_features", churn_oracle("""
 SELECT CustomerID, strftime(FirstPurchase, '%Y-%m-%d %H:%M:%S') AS FirstPurchase,
        strftime(LastPurchase, '%Y-%m-%d %H:%M:%S') AS LastPurchase, Recency, Frequency,
-       TotalSpend, AvgOrderValue, round(StdOrderValue, 4) AS StdOrderValue, TotalQuantity,
+       TotalSpend, AvgOrderValue, StdOrderValue, TotalQuantity,
        AvgQuantity, UniqueProducts, Country, CustomerAge, AvgDaysBetweenPurchases, IsUK, Churned
 FROM cf"""))
 def q_agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
     return f.select("CustomerID", ts_text("FirstPurchase"), ts_text("LastPurchase"), "Recency",
                     "Frequency", "TotalSpend", "AvgOrderValue",
-                    F.round("StdOrderValue", 4).alias("StdOrderValue"), "TotalQuantity",
+                    "StdOrderValue", "TotalQuantity",
                     "AvgQuantity", "UniqueProducts", "Country", "CustomerAge",
                     "AvgDaysBetweenPurchases", "IsUK", "Churned")
 
@@ -210,7 +218,10 @@ def q_ml13(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CustomerID, Recency, Frequency, TotalSpend, ChurnProbability, ChurnRisk, Churned
 FROM risk"""))
 def q_snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed_scored(spark, sf_dir).select(*churn.CHURN_EXPORT_COLUMNS)
+    """SNK2: the churn export written as CSV with a header and read back."""
+    out = fixed_scored(spark, sf_dir).select(*churn.CHURN_EXPORT_COLUMNS)
+    path = write_table(out, scratch_path(spark, "exports", uuid.uuid4().hex, "churn_predictions"), "csv")
+    return spark.read.schema(out.schema).option("header", True).csv(path)
 
 
 @register("ml18_risk_distribution_fixed_score", churn_oracle(extra="""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import forecast, rfm, timeseries as ts
 from tillroll.operators.clean import clean_transactions
 from tillroll.plans.catalog import date_text, register
+from tillroll.plans.q_forecast import FORECAST_SQL
 from tillroll.plans.q_segmentation import seg_oracle
 from tillroll.plans.q_timeseries import series_oracle
 from tillroll.session import scratch_path
@@ -45,7 +46,11 @@ def q_snk4(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "UniqueCustomers")
 
 
-@register("snk3_revenue_forecast_export")
+@register("snk3_revenue_forecast_export", series_oracle(f"""{FORECAST_SQL}
+SELECT w AS Week, strftime(last + 7 * w, '%Y-%m-%d') AS Date, round(f, 2) AS Forecast,
+       round(f - half, 2) AS Lower_CI, round(f + half, 2) AS Upper_CI
+FROM fc JOIN (SELECT series_key, MAX(Date) AS last FROM weekly GROUP BY series_key) USING (series_key)
+WHERE series_key = 'ALL'"""))
 def q_snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK3: the 12-week forecast of the total series (Week, Date, Forecast,
     Lower_CI, Upper_CI) written and read back."""
@@ -54,5 +59,5 @@ def q_snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     "Upper_CI")
     path = write_table(table, scratch_path(spark, "exports", uuid.uuid4().hex,
                                            "revenue_forecast"))
-    return spark.read.parquet(path).select("Week", date_text("Date"), "Forecast", "Lower_CI",
-                                           "Upper_CI").orderBy(F.col("Week"))
+    return spark.read.parquet(path).select("Week", date_text("Date"), *[
+        F.round(c, 2).alias(c) for c in ("Forecast", "Lower_CI", "Upper_CI")])

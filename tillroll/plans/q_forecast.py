@@ -1,35 +1,111 @@
-"""Registered queries: grouped seasonal-ARIMA forecasting (TS6, TS7, TS10,
-AGG17, model hold-out accuracy) over the weekly series per country plus the
-total.  Iterative fits have no exact SQL oracle (rows-only check); the
-golden-series tests pin tolerances."""
+"""Registered queries: grouped seasonal forecasting (TS6, TS7, TS10, AGG17,
+model hold-out accuracy) over the weekly series per country plus the total.
+
+The oracle repeats the fit and the recursion in SQL; amounts are compared to the
+cent, because the sums that are multiplied in double differ in their last bit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import forecast
 from tillroll.plans.catalog import date_text, register
-from tillroll.plans.q_timeseries import weekly_by_country
+from tillroll.plans.q_timeseries import series_oracle, weekly_by_country
 from tillroll.sources.tables import materialized
 
 
+def _forecast_cte(steps: int, skip: int) -> str:
+    """``fc``: (series_key, w, f, half) for the series without the last ``skip`` points."""
+    s = forecast.SEASON
+    ys, ds = [f"y{k}" for k in range(s + 1)], [f"d{k}" for k in range(s)]
+    return f""", cut AS (
+  SELECT series_key, t, n - {skip} AS n, CAST(rev * 1000 AS HUGEINT) AS y FROM pos WHERE t < n - {skip}
+),
+lagged AS (
+  SELECT *, y - lag(y) OVER w - lag(y, {s}) OVER w + lag(y, {s + 1}) OVER w AS d FROM cut
+  WINDOW w AS (PARTITION BY series_key ORDER BY t)
+),
+rowed AS (
+  SELECT *, {", ".join(f"lag(y, {k}) OVER w AS ly{k}" for k in range(1, s + 1))},
+         {", ".join(f"lag(d, {k}) OVER w AS ld{k}" for k in range(1, s + 1))}
+  FROM lagged WINDOW w AS (PARTITION BY series_key ORDER BY t)
+),
+normal AS (
+  SELECT series_key, COUNT(*) AS rows, CAST(SUM(ld1 * ld1) AS DOUBLE) AS s11,
+         CAST(SUM(ld1 * ld{s}) AS DOUBLE) AS s12, CAST(SUM(ld{s} * ld{s}) AS DOUBLE) AS s22,
+         CAST(SUM(ld1 * d) AS DOUBLE) AS s1y, CAST(SUM(ld{s} * d) AS DOUBLE) AS s2y,
+         CAST(SUM(d * d) AS DOUBLE) AS syy
+  FROM rowed WHERE d IS NOT NULL AND ld1 IS NOT NULL AND ld{s} IS NOT NULL GROUP BY series_key
+),
+fit AS (
+  SELECT r.*, rows, s1y, s2y, syy, coalesce((s1y * s22 - s2y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS phi,
+         coalesce((s2y * s11 - s1y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS sphi
+  FROM rowed r LEFT JOIN normal USING (series_key) WHERE t = n - 1
+),
+sigma AS (
+  SELECT *, CASE WHEN rows > 2 THEN greatest(syy - phi * s1y - sphi * s2y, 0) / (rows - 2) END AS sigma2 FROM fit
+),
+steps AS (
+  WITH RECURSIVE run AS (
+    SELECT series_key, phi, sphi, sigma2, 0 AS w, CAST(y AS DOUBLE) AS y0,
+           {", ".join(f"CAST(coalesce(ly{k}, y) AS DOUBLE) AS y{k}" for k in range(1, s + 1))},
+           CAST(coalesce(d, 0) AS DOUBLE) AS d0,
+           {", ".join(f"CAST(coalesce(ld{k}, 0) AS DOUBLE) AS d{k}" for k in range(1, s))},
+           {", ".join(f"0.0::DOUBLE AS p{c}" for c in [*ys, *ds])}, 0.0::DOUBLE AS spread
+    FROM sigma
+    UNION ALL
+    SELECT series_key, phi, sphi, sigma2, w + 1, nd + y0 + y{s - 1} - y{s}, {", ".join(ys[:-1])}, nd,
+           {", ".join(ds[:-1])}, np, {", ".join(f"p{c}" for c in ys[:-1])}, pd,
+           {", ".join(f"p{c}" for c in ds[:-1])}, spread + np * np
+    FROM (SELECT *, pd + py0 + py{s - 1} - py{s} AS np FROM (
+            SELECT *, phi * d0 + sphi * d{s - 1} AS nd,
+                   CASE WHEN w = 0 THEN 1.0::DOUBLE ELSE phi * pd0 + sphi * pd{s - 1} END AS pd FROM run))
+    WHERE w < {steps})
+  SELECT * FROM run
+),
+fc AS (
+  SELECT series_key, CAST(w AS INTEGER) AS w, y0 / 1000 AS f,
+         {forecast.Z!r} * sqrt(sigma2 * spread) / 1000 AS half FROM steps WHERE w > 0
+)"""
+
+
+FORECAST_SQL = _forecast_cte(forecast.HORIZON, 0)
+
+
 def forecast_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 12-week forecast table of every series, fitted once per session."""
     return materialized(spark, "revenue_forecast", sf_dir,
                         lambda: forecast.forecast_table(weekly_by_country(spark, sf_dir)))
 
 
-@register("ts10_revenue_forecast")
+def _cents(*cols: str):
+    return [F.round(c, 2).alias(c) for c in cols]
+
+
+@register("ts10_revenue_forecast", series_oracle(f"""{FORECAST_SQL}
+SELECT series_key, w AS Week, strftime(last + 7 * w, '%Y-%m-%d') AS Date, round(f, 2) AS Forecast,
+       round(f - half, 2) AS Lower_CI, round(f + half, 2) AS Upper_CI
+FROM fc JOIN (SELECT series_key, MAX(Date) AS last FROM weekly GROUP BY series_key) USING (series_key)"""))
 def q_ts10(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = forecast_by_country(spark, sf_dir)
-    return t.select("series_key", "Week", date_text("Date"), "Forecast", "Lower_CI", "Upper_CI")
+    return t.select("series_key", "Week", date_text("Date"), *_cents("Forecast", "Lower_CI", "Upper_CI"))
 
 
-@register("agg17_forecast_summary")
+@register("agg17_forecast_summary", series_oracle(f"""{FORECAST_SQL}
+SELECT series_key, round(SUM(f), 2) AS total_forecast, round(AVG(f), 2) AS mean_forecast,
+       round(MIN(f), 2) AS min_forecast, round(MAX(f), 2) AS max_forecast FROM fc GROUP BY series_key"""))
 def q_agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.forecast_summary(forecast_by_country(spark, sf_dir))
+    return forecast.forecast_summary(forecast_by_country(spark, sf_dir)).select(
+        "series_key", *_cents("total_forecast", "mean_forecast", "min_forecast", "max_forecast"))
 
 
-@register("ts6_holdout_accuracy")
+@register("ts6_holdout_accuracy", series_oracle(f"""{_forecast_cte(forecast.HOLDOUT, forecast.HOLDOUT)},
+held AS (SELECT series_key, t - n + {forecast.HOLDOUT} + 1 AS w, CAST(rev AS DOUBLE) AS actual FROM pos
+         WHERE t >= n - {forecast.HOLDOUT})
+SELECT series_key, round(AVG(abs(actual - f)), 2) AS mae, round(sqrt(AVG((actual - f) * (actual - f))), 2) AS rmse,
+       round(AVG(abs((actual - f) / nullif(actual, 0))) * 100, 4) AS mape, COUNT(f) AS points
+FROM held LEFT JOIN fc USING (series_key, w) GROUP BY series_key"""))
 def q_ts6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.holdout_accuracy(weekly_by_country(spark, sf_dir))
+    acc = forecast.holdout_accuracy(weekly_by_country(spark, sf_dir))
+    return acc.select("series_key", *_cents("mae", "rmse"), F.round("mape", 4).alias("mape"), "points")

@@ -93,13 +93,14 @@ SELECT stat_order, statistic, round(value, 2) AS {col} FROM (
 
 
 @register("prf4_rfm_describe", with_ctes(RETAIL_CTE, CLEAN_CTE, RFM_CTE, body=f"""
-SELECT stat_order, statistic, r.Recency, f.Frequency
+SELECT stat_order, statistic, r.Recency, f.Frequency, m.Monetary
 FROM ({_describe_sql('Recency')}) r
-JOIN ({_describe_sql('Frequency')}) f USING (stat_order, statistic)"""))
+JOIN ({_describe_sql('Frequency')}) f USING (stat_order, statistic)
+JOIN ({_describe_sql('Monetary')}) m USING (stat_order, statistic)"""))
 def q_prf4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rfm = rfm_notebook(_clean(spark, sf_dir))
-    return profile.describe(rfm, ["Recency", "Frequency"], "CustomerID",
-                            bounded=("Recency", "Frequency"))
+    return profile.describe(rfm, ["Recency", "Frequency", "Monetary"], "CustomerID",
+                            bounded=("Recency",))
 
 
 # --- series ---------------------------------------------------------------------
