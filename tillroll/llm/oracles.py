@@ -136,3 +136,20 @@ near AS (SELECT f.dir, c.dir AS up, c.name FROM (SELECT DISTINCT dir FROM files)
 SELECT f.doc_id, f.path, h.name AS header, h.score AS header_score, w.name AS covers,
        near.name AS inherited, near.up AS inherited_from, coalesce(h.name, near.name) AS licence
 FROM files f LEFT JOIN headers h USING (doc_id) LEFT JOIN wholes w USING (doc_id) LEFT JOIN near USING (dir)"""
+
+
+def substring_dedup_sql(window: int = 50) -> str:
+    """Every window of every text, instead of anchors."""
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {window - 1}], ' ')) AS h
+            FROM docs, unnest(range(1, len(ws) - {window - 2})) AS u(i)),
+least AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT doc_id, i + k AS place FROM windows JOIN least USING (h), range({window}) r(k)
+            WHERE doc_id > first_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM docs),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t
+         FROM words ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""

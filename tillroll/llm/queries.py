@@ -63,7 +63,7 @@ def op3_secret_scan(spark, sf_dir):
                         secret_scan.span_list(F.col("spans")).alias("spans"))
 
 
-@register("op4_substring_dedup")
+@register("op4_substring_dedup", oracles.substring_dedup_sql())
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.without_repeats(
         read_table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("doc_id"), F.col("text"),
