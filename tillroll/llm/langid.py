@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.text import map_texts
@@ -122,12 +122,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       lang_col: str = "lang", sample_docs: int = 4000) -> LanguageModel:
+                       lang_col: str = "lang", sample_docs: int = 2400) -> LanguageModel:
     """Learn from the text and language of documents that are not held out.
 
     Document frequencies cover all of them.  The weights see ``sample_docs`` of
-    them at most, as many of each language where there are enough, in the order
-    of a hash of the id; one in five of these fits the temperature instead.
+    them at most, about as many of each language where there are enough, chosen
+    by a hash of the id; one in five of these fits the temperature instead.
     Documents without id, language or letter teach nothing.  An empty table
     gives a model without languages, which answers ``und``.
     """
@@ -136,14 +136,18 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out(F.col("_id"))))
     df, n = document_frequencies(known.select("_t"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    langs = [r[0] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang")
-             .limit(sample_docs).collect()]
+    held = (known.groupBy("_lang").agg(F.count("*").alias("_n"))
+            .orderBy(F.desc("_n"), "_lang").limit(sample_docs).collect())
+    langs = [r["_lang"] for r in held]
     if not langs:
         return LanguageModel([], idf, np.zeros((0, BUCKETS)))
-    each = max(1, sample_docs // len(langs))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (known.select("_id", "_lang").withColumn("_k", F.row_number().over(first))
-              .where(F.col("_k") <= each).limit(sample_docs).select("_id").distinct())
+    # A document is chosen by the hash of its id, at the rate that its language needs.
+    each, steps = max(1, sample_docs // len(langs)), 1 << 30
+    rates = docs.sparkSession.createDataFrame(
+        [(r["_lang"], min(steps, -(-each * steps // r["_n"]))) for r in held], "_lang string, _rate long")
+    drawn = F.pmod(F.xxhash64("_id"), F.lit(steps))
+    chosen = (known.select("_id", "_lang").join(F.broadcast(rates), "_lang")
+              .where(drawn < F.col("_rate")).orderBy(drawn, "_id").limit(sample_docs).select("_id").distinct())
 
     def make():
         def f(texts):
@@ -151,18 +155,18 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             idx = [np.flatnonzero(c) if c is not None else [] for c in rows]
             return [pa.array(idx, pa.list_(pa.int32())),
                     pa.array([c[i] if c is not None else [] for c, i in zip(rows, idx, strict=True)],
-                             pa.list_(pa.float64()))]
+                             pa.list_(pa.float32()))]
         return f
 
     got = map_texts(known.join(F.broadcast(chosen), "_id"), [F.col("_id"), F.col("_lang")],
-                    F.col("_t"), make, "idx array<int>, n array<double>").toPandas()
+                    F.col("_t"), make, "idx array<int>, n array<float>").toPandas()
     code = {x: i for i, x in enumerate(langs)}
     model = LanguageModel(langs, idf, np.zeros((len(langs), BUCKETS)))
     fit, check = [], []
     for at, (_, lang, idx, cnt) in enumerate(
             got.sort_values(["_id", "_lang"], kind="stable").itertuples(index=False)):
         if len(idx):
-            v = np.log1p(np.asarray(cnt)) * idf[idx]
+            v = np.log1p(np.asarray(cnt, dtype=float)) * idf[idx]
             (check if at % 5 == 4 else fit).append((np.asarray(idx), v / np.linalg.norm(v), code[lang]))
     model = LanguageModel(langs, idf, fit_ftrl(fit, len(langs)))
     scores = np.array([model.weights[:, i] @ x for i, x, _ in check]).reshape(len(check), len(langs))
