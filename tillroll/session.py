@@ -113,7 +113,14 @@ def folder_version(spark: SparkSession, path: str) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the scratch folder; call it when its
     DataFrames are no longer read."""
-    fs, p = _path(spark, _own_scratch(spark))
+    delete_path(spark, _own_scratch(spark))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's scratch."""
+    if not path.startswith(_own_scratch(spark)):
+        raise ValueError(f"{path} is not below this application's scratch folder")
+    fs, p = _path(spark, path)
     fs.delete(p, True)
 
 
