@@ -57,6 +57,15 @@ def test_a_tree_at_the_ceiling_raises(spark):
         models.check_depth(Deep, models.MAX_DEPTH)
 
 
+def test_leaderboard(matrix):
+    trees = [models.FOREST, models.BOOSTED]
+    board = models.leaderboard(matrix, trees, trees=2, rounds=1).toPandas()
+    assert sorted(board["model"]) == sorted(trees)
+    assert board["is_best"].sum() == 1
+    assert board.loc[board["is_best"] == 1, "test_auc"].item() == board["test_auc"].max()
+    assert board["cv_mean"].between(0, 1).all() and (board["cv_std"] >= 0).all()
+
+
 def test_scaling_is_by_the_population_deviation(matrix):
     train = matrix.filter("is_test = 0")
     model = models.fit(models.LOGISTIC, train)
