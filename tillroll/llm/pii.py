@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.text import computed_once
+
 ROUNDS = 8
 #: Patterns by kind; no letter, digit or joining sign may touch a match.
 _BEFORE, _AFTER = "(?<![A-Za-z0-9._%+/-])", "(?![A-Za-z0-9/-]|\\.[0-9])"
@@ -212,5 +214,6 @@ def pseudonymise(docs: DataFrame, carry: list[Column], text: Column, key: str,
     joined = F.array_join(F.zip_with("_p", "_f", lambda p, f: F.concat(
         p, F.coalesce(f["pseudonym"], F.lit("")))), "")
     found = F.filter("_f", lambda f: f["kind"].isNotNull())
-    return df.select("_row.*", F.when(F.size("_m") > 0, joined).otherwise(F.col("_t")).alias("text"),
-                     F.size(found).cast("long").alias("n_found"), found.alias("found"))
+    text = F.when(F.size("_m") > 0, joined).otherwise(F.col("_t"))
+    out = F.struct(text.alias("text"), F.size(found).cast("long").alias("n_found"), found.alias("found"))
+    return df.select("_row", computed_once(out).alias("_out")).select("_row.*", "_out.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.session import scratch_path
+from tillroll.session import delete_path, scratch_path
 
 # A word is a maximal run of characters that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -82,14 +82,35 @@ def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def _write(df: DataFrame, name: str) -> str:
+    path = scratch_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
+    with _cleaned_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder, read again: it is computed
     once, later jobs survive the loss of executors, and its shuffle files go."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    with _cleaned_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+@contextmanager
+def borrowed(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``written``, and deleted at the end: for a table that is read in the block
+    only, where what comes of it is written too."""
+    path = _write(df, name)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(df.sparkSession, path)
+
+
+def computed_once(value: Column) -> Column:
+    """``value`` through a generator.  A filter on a column that an expensive
+    expression makes is pushed below it with a copy of the expression, and of all
+    that it is made of; a generated column keeps the filter above."""
+    return F.explode(F.array(value))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
