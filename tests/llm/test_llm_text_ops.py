@@ -268,3 +268,13 @@ def test_schema_of_carried_columns(odd):
     out = secret_scan.secret_spans(odd, [F.struct("*").alias("row")], F.col("text")).select("row.*")
     assert out.schema == odd.schema
     assert isinstance(odd.schema["row"].dataType, T.StringType)
+
+
+def test_filters_on_results_copy_no_pattern(odd):
+    """A filter on spans or counts must not be pushed below what makes them."""
+    for out, keep in ((secret_scan.secret_spans(odd, [F.col("doc_id")], F.col("text")), F.size("spans") == 0),
+                      (pii.pseudonymise(odd, [F.col("doc_id")], F.col("text"), "k"), F.col("n_found") == 0)):
+        plain = out._jdf.queryExecution().optimizedPlan().toString()
+        kept = out.where(keep)._jdf.queryExecution().optimizedPlan().toString()
+        assert kept.count("regexp_extract_all") == plain.count("regexp_extract_all") > 0
+        assert kept.count("split(") == plain.count("split(")

@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.text import computed_once
+
 #: Kind, pattern, group whose length is checked, least length.
 BASE = (
     ("assign", "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
@@ -155,7 +157,7 @@ def secret_spans(docs: DataFrame, carry: list[Column], text: Column) -> DataFram
     df = df.withColumn("_entropy", F.filter("_candidates", secret))
     spans = F.transform(F.array_sort(F.concat("_base", "_entropy")), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return df.select("_row.*", spans.alias("spans"))
+    return df.select("_row", computed_once(spans).alias("spans")).select("_row.*", "spans")
 
 
 def span_list(spans: Column) -> Column:
