@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.text import byte_slices, int64, words_of, written
+from tillroll.llm.text import borrowed, byte_slices, int64, words_of, written
 
 #: Perfect difference covers by period.
 COVERS = {
@@ -183,17 +183,20 @@ def repeated_passages(docs: DataFrame, doc_id: Column, text: Column, window: int
     in a document with a smaller id, the hashes of these windows."""
     period = period_for(window)
     keyed = docs.select(F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
-    rows = written(_anchor_rows(keyed.where("text is not null"), window, period), "anchors")
-    shared = rows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    found = written(
-        rows.join(shared.where("least < most"), "hash")
-        .groupBy("id").agg(F.collect_list("hash").alias("shared"),
-                           F.collect_list(F.when(F.col("id") > F.col("least"), F.col("hash"))).alias("late")),
-        "shared-anchors")
-    windows = written(_window_rows(keyed.where("text is not null").join(found, "id"), window, period), "windows")
-    least = windows.groupBy("hash", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return (windows.where("later").join(least.where("least < most"), ["hash", "check"])
-            .where("id > least").groupBy("id").agg(F.collect_list("hash").alias("fallen")))
+    with borrowed(_anchor_rows(keyed.where("text is not null"), window, period), "anchors") as rows:
+        shared = rows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        found = written(
+            rows.join(shared.where("least < most"), "hash")
+            .groupBy("id").agg(F.collect_list("hash").alias("shared"),
+                               F.collect_list(F.when(F.col("id") > F.col("least"), F.col("hash"))).alias("late")),
+            "shared-anchors")
+    around = _window_rows(keyed.where("text is not null").join(found, "id"), window, period)
+    with borrowed(around, "windows") as windows:
+        least = windows.groupBy("hash", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        return written(
+            windows.where("later").join(least.where("least < most"), ["hash", "check"])
+            .where("id > least").groupBy("id").agg(F.collect_list("hash").alias("fallen")),
+            "repeated-passages")
 
 
 def without_repeats(docs: DataFrame, carry: list[Column], doc_id: Column, text: Column,
@@ -207,7 +210,7 @@ def without_repeats(docs: DataFrame, carry: list[Column], doc_id: Column, text:
     texts have no words.  A null id counts as larger than any other.  Rows with
     the same id never remove from each other; repeated rows give a row each.
     """
-    fallen = written(repeated_passages(docs, doc_id, text, window), "repeated-passages")
+    fallen = repeated_passages(docs, doc_id, text, window)
     src = (docs.select(F.struct(*carry).alias("row"), F.coalesce(text, F.lit("")).alias("_t"),
                        F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("id"))
            .join(fallen, "id", "left")
