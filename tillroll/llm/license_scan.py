@@ -138,7 +138,8 @@ def licences(files: DataFrame, file_id: Column, path: Column, text: Column,
     dirs = table.where("dir is not null").select("dir").distinct()
     nearest = (dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).join(covered, "up")
                .groupBy("dir").agg(F.max_by(F.struct("up", "name"), F.length("up")).alias("near")))
-    return table.join(nearest, "dir", "left").select(
+    # Written, so that the join can split a directory that holds most files.
+    return table.join(written(nearest, "nearest"), "dir", "left").select(
         "id", "path", F.col("header.name").alias("header"), F.col("header.score").alias("header_score"),
         F.col("covers.name").alias("covers"), F.col("near.name").alias("inherited"),
         F.col("near.up").alias("inherited_from"),
