@@ -223,6 +223,46 @@ def test_best_stretch_is_the_greatest():
         assert score[i:j].sum() == pytest.approx(best)
 
 
+def planted(rng, n, subs):
+    """An item, and a document with ``n`` of its tokens, ``subs`` of them substituted."""
+    item = [f"i{k}" for k in range(n + 6)]
+    at = rng.randrange(7)
+    part = item[at:at + n]
+    for k in rng.sample(range(n), subs):
+        part[k] = f"s{k}"
+    doc = [f"d{k}" for k in range(30)] + part + [f"e{k}" for k in range(30)]
+    return " ".join(doc), " ".join(item)
+
+
+@pytest.mark.parametrize("n,subs", [(13, 1), (15, 2), (25, 4), (30, 4)])
+def test_no_overlap_hides_behind_a_shorter_one(n, subs):
+    rng = random.Random(n)
+    for _ in range(100):
+        doc, item = planted(rng, n, subs)
+        index = decontaminate.SeedIndex.build([(1, item)])
+        found = index.overlaps(doc, index.filters(), 13, 0.2)
+        assert len(found) == 1 and found[0][2] >= 13 and found[0][1] >= 0.8 * found[0][2]
+
+
+def test_random_overlaps_match_brute_force():
+    rng = random.Random(3)
+    answers = set()
+    for _ in range(1000):
+        n = rng.randrange(8, 31)
+        equal = np.array([rng.random() < 0.75 for _ in range(n)])
+        x = [f"i{k}" if e else f"s{k}" for k, e in enumerate(equal)]
+        item = " ".join(f"i{k}" for k in range(n))
+        want = any(5 * (~equal[i:j]).sum() <= j - i for i in range(n) for j in range(i + 13, n + 1))
+        got = decontaminate.best_stretch(equal, 0.2, 13)
+        assert (got is not None) == want
+        assert got or not (n >= 13 and brute_overlap(" ".join(x), item))
+        if got:
+            i, j = got
+            assert j - i >= 13 and 5 * (~equal[i:j]).sum() <= j - i
+        answers.add(want)
+    assert answers == {True, False}
+
+
 # Licences -----------------------------------------------------------------
 
 def test_licences_are_found_and_inherited(spark):

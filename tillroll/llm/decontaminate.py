@@ -4,7 +4,8 @@ Texts become lower-case tokens of letters and digits.  A mask selects some of a
 few consecutive token positions and ignores the others, so that a window hashes
 alike whatever stands at an ignored place.  Hashes of benchmark items and of
 documents are joined; around each hit the item is laid over the document, and
-the best stretch decides, in which substituted tokens are tolerated.
+the best stretch of sufficient length decides, in which substituted tokens are
+tolerated.
 
 Benchmark items are the query set: they are sent to the tasks in blocks of
 bounded size, and every block sees every document.
@@ -93,7 +94,8 @@ class SeedIndex:
     def overlaps(self, text: str | None, filters: list[np.ndarray], min_overlap: int,
                  max_substituted: float) -> list[tuple]:
         """(item id, matched tokens, compared tokens, item tokens, first document
-        token, first item token) of the best stretch with each item."""
+        token, first item token) of the best stretch with each item that is long
+        enough."""
         ws = tokens(text)
         x = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int64, len(ws))
         diagonals: set[tuple[int, int]] = set()
@@ -109,23 +111,32 @@ class SeedIndex:
             ident, y = self.items[k]
             start, stop = max(0, -d), min(len(y), len(x) - d)
             equal = x[start + d:stop + d] == y[start:stop]
-            i, j = best_stretch(equal, max_substituted)
+            found = best_stretch(equal, max_substituted, min(min_overlap, len(y)))
+            if found is None:
+                continue
+            i, j = found
             same = int(equal[i:j].sum())
-            if j - i >= min(min_overlap, len(y)) and (k not in best or same > best[k][1]):
+            if k not in best or same > best[k][1]:
                 best[k] = (ident, same, j - i, len(y), start + d + i, start + i)
         return list(best.values())
 
 
-def best_stretch(equal: np.ndarray, max_substituted: float) -> tuple[int, int]:
-    """The stretch of greatest score, where an equal token gives the share of
-    substitutions allowed and another takes the rest: within it no end can be cut
-    off that holds more substitutions than allowed, nor does it as a whole."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(equal, max_substituted, max_substituted - 1))])
-    low = np.minimum.accumulate(score)
-    gain = score - low
-    stop = int(gain.argmax())
-    start = int(np.flatnonzero(score[:stop + 1] == low[stop])[-1])
-    return start, stop
+def best_stretch(equal: np.ndarray, max_substituted: float, least: int = 0) -> tuple[int, int] | None:
+    """The stretch of greatest score among those of ``least`` tokens or more, where
+    an equal token gives the share of substitutions allowed and another takes the
+    rest; None if each of them holds more substitutions than allowed.  A stretch of
+    greater score that is too short hides no longer one."""
+    n = len(equal)
+    if n < least or equal.sum() < (1 - max_substituted) * least - 1e-9:
+        return None
+    score = max_substituted * np.arange(n + 1) - np.concatenate([[0], np.cumsum(~equal)])
+    low = np.minimum.accumulate(score[:n + 1 - least])
+    gain = score[least:] - low
+    top = int((gain >= gain.max() - 1e-9).argmax())
+    if gain[top] < -1e-9:
+        return None
+    start = int(np.flatnonzero(score[:top + 1] <= low[top] + 1e-9)[-1])
+    return start, top + least
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: Column, item_text: Column,
