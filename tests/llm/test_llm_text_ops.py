@@ -245,6 +245,40 @@ def test_pseudonyms_round_trip_and_link(spark, odd, empty):
     assert same_rows(pii.pseudonymise(empty, [F.col("doc_id")], F.col("text"), "k"), 0) == []
 
 
+NEIGHBOURS = {  # text -> values in it
+    "4111111111111111 737": ["4111111111111111"], "12 4111111111111111": ["4111111111111111"],
+    "4111 1111 1111 1111 737": ["4111 1111 1111 1111"], "2023 4111-1111-1111-1111": ["4111-1111-1111-1111"],
+    "4111111111111111- 7": ["4111111111111111"], "2023 123-45-6789": ["123-45-6789"],
+    "12345 2024-01-05": ["2024-01-05"], "2024-01-05T10:00:00Z": ["2024-01-05"],
+    "2024-01-05/2024-02-05": ["2024-01-05", "2024-02-05"], "2024-01-05 - 4111111111111111 2024-01-06": [
+        "2024-01-05", "4111111111111111", "2024-01-06"],
+    "12/31/1999, 31/12/1999": ["12/31/1999", "31/12/1999"], "13/31/1999 02/30/2000": [],
+    "call 555-123-4567 or (555) 123-4567": ["555-123-4567", "(555) 123-4567"],
+    "+1 (555) 123-4567 20231": ["+1 (555) 123-4567"],
+}
+
+
+def test_no_value_hides_behind_a_neighbour(spark):
+    texts = [*NEIGHBOURS, "1 " * 30000, "4" * 30000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymise(docs, [F.col("doc_id")], F.col("text"), "k")
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, (text, want) in enumerate(NEIGHBOURS.items()):
+        assert [f.value for f in rows[i].found] == want, text
+        assert not any(v in rows[i].text for v in want)
+    back = {r.doc_id: r.text for r in pii.pseudonymise(out, [F.col("doc_id")], F.col("text"), "k", inverse=True).collect()}
+    assert [back[i] for i in range(len(NEIGHBOURS))] == list(NEIGHBOURS)
+
+
+def test_late_days_permute_among_themselves(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1800-01-01', DATE'2199-12-31')) AS d").where("day(d) > 12")
+    days = days.select(F.date_format("d", "MM/dd/yyyy").alias("v"))
+    new = pii._late_day(F.col("v"), "k", False)
+    got = days.select("v", new.alias("n")).select("v", "n", pii._late_day(F.col("n"), "k", True).alias("b")).toPandas()
+    assert len(got) == 88497 == got.n.nunique() and (got.b == got.v).all()
+    assert (got.n.str[3:5].astype(int) > 12).all()
+
+
 def test_number_permutation_is_one_to_one(spark):
     n = pii.permute_number(F.col("id"), 21, 43, "k", "x")
     df = spark.range(21 * 43).select("id", n.alias("n"))
