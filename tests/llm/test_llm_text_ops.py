@@ -206,6 +206,21 @@ def test_incremental_entropy(spark):
         assert bits == pytest.approx(best_entropy(r.v), abs=1e-4)
 
 
+def test_random_digits_are_found(spark):
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("0123456789"), n)) for n in (20, 32, 64) for _ in range(200)]
+    texts = [t for t in texts if "0000" not in t and "0123456789" not in t]
+    docs = spark.createDataFrame([(t, f"key {t} end") for t in texts], "value string, text string")
+    # Digits of 24 places or more are spans of the pattern for hex already.
+    out = secret_scan.secret_spans(docs, [F.col("value")], F.col("text")).collect()
+    short = [r for r in out if len(r.value) == 20]
+    assert all(r.spans for r in out if len(r.value) >= 24)
+    assert sum([s.kind for s in r.spans] == ["entropy"] for r in short) > 0.93 * len(short)
+    dull = [("x", "12121212121212121212"), ("y", "11112222333311112222")]
+    docs = spark.createDataFrame(dull, "value string, text string")
+    assert all(r.spans == [] for r in secret_scan.secret_spans(docs, [F.col("value")], F.col("text")).collect())
+
+
 def test_running_sums(spark):
     for n in (0, 1, 2, 7, 100, 1000):
         xs = list(range(1, n + 1))

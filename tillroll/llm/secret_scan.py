@@ -31,8 +31,9 @@ BASE = (
 )
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Least bits of entropy in the best window by character class.
-THRESHOLDS = {"digits": 3.2, "hex": 3.0, "letters": 4.2, "mixed": 3.6}
+#: Least bits of entropy in the best window by character class.  Random digits
+#: reach 2.6 in 96 of 100 strings of 20, letters 4.2 in few (see README).
+THRESHOLDS = {"digits": 2.6, "hex": 3.0, "letters": 4.2, "mixed": 3.6}
 #: Strings that look random and are no secrets.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
