@@ -126,6 +126,15 @@ def test_near_duplicate_edges(spark):
     assert simhash.near_duplicates(frame(spark, []), F.col("doc_id"), F.col("text")).collect() == []
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """Different texts under one id: each component is judged for itself."""
+    a, b, c = (" ".join(prose(i, 300)) for i in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, b), (0, c), (1, c), (1, a), (None, a)]
+    stay = simhash.one_of_each(frame(spark, rows), "doc_id", "text")
+    assert stay.columns == frame(spark, rows).columns
+    assert sorted((r.doc_id, r.text) for r in stay.collect()) == sorted([(1, a), (1, b), (0, c)])
+
+
 @pytest.mark.parametrize("max_bits,list_size", [(4, 4096), (4, 3), (3, 2), (1, 2), (0, 4096)])
 def test_links_join_every_linked_pair(spark, max_bits, list_size):
     rng = random.Random(max_bits)

@@ -146,45 +146,43 @@ def links(fps: DataFrame, max_bits: int = 4, list_size: int = 4096) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int = 4,
-                    max_bits: int = 4, seed: int = 42) -> DataFrame:
+                    max_bits: int = 4, seed: int = 42, carry: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``fp`` (long),
     ``component_id``, the least id that is reachable over links of ``max_bits``
-    differing bits or fewer, and ``component``, the least fingerprint among them.
+    differing bits or fewer, and ``component``, the least fingerprint among them,
+    then the ``carry`` columns.
 
     A null or empty text has fingerprint 0 and is linked like any other; equal
     texts link whatever their ids; a null id is never the least unless its
     component holds no other (then ``component_id`` is null).
     """
-    table = written(fingerprints(docs, [doc_id.alias("doc_id")], text, shingle, seed), "fingerprints")
+    table = written(fingerprints(docs, [doc_id.alias("doc_id"), *carry], text, shingle, seed), "fingerprints")
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     part = components(links(distinct.select("fp"), max_bits))
     labelled = (distinct.join(part.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
                 .withColumn("root", F.coalesce("root", "fp")))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
-    return table.join(named, "fp").select("doc_id", "fp", "component_id", "component")
+    extra = [c for c in table.columns if c not in ("doc_id", "fp")]
+    return table.join(named, "fp").select("doc_id", "fp", "component_id", "component", *extra)
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, max_bits: int = 4,
                 seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component of near-duplicates:
-    the one with the least id.  Of repeated rows with that id the one with the
-    least hash of its columns stays, and likewise in a component without any id."""
-    near = written(near_duplicates(docs, F.col(id_col), F.col(text_col), shingle, max_bits, seed), "near")
-    least = near.where("doc_id = component_id").groupBy("doc_id").count()
-    stay = docs.join(least.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    row, order = F.struct("*"), F.xxhash64("*")
-    if not least.where("count > 1").isEmpty():
-        stay = (stay.select(id_col, row.alias("_row"), order.alias("_order")).groupBy(id_col)
-                .agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
-    nameless = near.where("component_id is null")
-    if nameless.isEmpty():
-        return stay
-    prints = fingerprints(docs.where(F.col(id_col).isNull()).select("*", order.alias("_order")),
-                          [F.struct(*docs.columns).alias("_row"), F.col("_order")], F.col(text_col), shingle, seed)
-    return stay.unionAll(
-        prints.join(nameless.select("fp", "component").distinct(), "fp").groupBy("component")
-        .agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
+    the one with the least id.  Of several rows with that id the one with the least
+    hash of its text stays, of repeated ones the one with the least hash of its
+    columns; likewise in a component without any id."""
+    of_text = F.xxhash64(F.col(text_col))
+    near = near_duplicates(docs, F.col(id_col), F.col(text_col), shingle, max_bits, seed, (of_text.alias("text_hash"),))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "rows")
+    least = written(near.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+                    .groupBy("component").agg(F.min(first).alias("least")).select("least.*"), "least")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), of_text.alias("_text"))
+    stay = keyed.join(least, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("text_hash")), "left_semi")
+    if not least.where("rows > 1").isEmpty():
+        stay = stay.groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return stay.select("_row.*")
 
 
 def fp_hex(fp: Column) -> Column:
