@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
-    decontaminate, langid, license_scan, mixing, oracles, pii, quality_lines, secret_scan, simhash, substring_dedup, token_counts,
+    decontaminate, exact_dedup, hard_negatives, langid, license_scan, mixing, oracles, periodic_runs, pii, quality_lines, secret_scan,
+    simhash, substring_dedup, token_counts,
 )
-from tillroll.llm.text import n_words, read_table
+from tillroll.llm.text import computed_once, n_words, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,51 @@ def op9_simhash_near_dup(spark, sf_dir):
 def op10_source_mix(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"),
                       n_words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op11_exact_dedup", oracles.exact_dedup_sql())
+def op11_exact_dedup(spark, sf_dir):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return exact_dedup.exact_duplicates(
+        read_table(spark, sf_dir, "documents"), [F.col("doc_id"), F.sha2(text, 256).alias("text_sha256")],
+        F.col("doc_id"), F.col("text"))
+
+
+def with_planted_runs(docs):
+    """The contract's texts: in one document of ten, by its crc32, the words from some
+    place on repeat with a period."""
+    def at(i, a, p):
+        return F.element_at("_w", F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int") + 1)
+
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("_w").cast("long")
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", computed_once(F.when(h % 10 == 0, words)).alias("_w"))
+    a = (g % F.greatest(n, F.lit(1))).alias("a")
+    placed = split.select("doc_id", "text", "_w", n.alias("_n"), a, g.alias("g")).withColumn(
+        "p", F.floor((F.col("_n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    # Through a generator, so that places are not computed anew for each word.
+    once = placed.select("doc_id", "text", "_w", "_n", F.explode(F.array(F.struct("a", "p"))).alias("c"))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1),
+                                       lambda i: at(i, F.col("c.a"), F.col("c.p"))), " ")
+    return once.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")),
+                                        [F.col("doc_id")], F.col("text"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
+@register("op13_hard_negatives", oracles.hard_negatives_sql())
+def op13_hard_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), vec_id, F.col("embedding"),
+                                         moved, vec_id % 50 == 0)
