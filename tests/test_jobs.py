@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tillroll.operators import models
 from tillroll.plans import jobs
 from tillroll.session import scratch_path
 from tillroll.sources.retail import read_segmentation, read_transactions, tpch_retail_view
@@ -37,11 +38,24 @@ def test_segmentation_then_churn_jobs(spark, sf_small):
     assert seg.count() == 150
     kpi = spark.read.parquet(seg_paths["kpi_summary"]).collect()
     assert {r["Metric"] for r in kpi} >= {"Total Customers", "VVIC Count"}
-    paths = jobs.churn_job(lines, out, seg_paths["customer_segmentation"], home="NATION_0",
-                           rounds=3)
+    small = {models.FOREST: {"trees": 4}, models.BOOSTED: {"rounds": 3}}
+    paths = jobs.churn_job(lines, out, seg_paths["customer_segmentation"], home="NATION_0", fit_args=small)
     preds = spark.read.csv(paths["churn_predictions"], header=True)
     assert preds.count() == 150
     assert spark.read.parquet(paths["clv_at_risk"]).count() == 1
+    board = spark.read.parquet(paths["model_leaderboard"]).collect()
+    assert {r.model for r in board} == set(models.MODEL_NAMES) and sum(r.is_best for r in board) == 1
+    scores = spark.read.parquet(paths["model_scores"])
+    assert scores.count() == 3 * 150
+    n_test = scores.where("fit = 0").count() // 3
+    report = {r.class_name: r for r in spark.read.parquet(paths["classification_report"]).collect()}
+    assert report["accuracy"].support == n_test
+    cells = spark.read.parquet(paths["confusion_matrix"]).agg(F.sum(F.col("predicted_0") + F.col("predicted_1"))).first()
+    assert cells[0] == n_test
+    assert spark.read.parquet(paths["roc_curves"]).select("model").distinct().count() == 3
+    assert spark.read.parquet(paths["feature_importance"]).count() == 10
+    loaded = models.load_model(spark, paths["model_gradient_boosted_trees"])
+    assert loaded.select("tree").distinct().count() == 3
 
 
 def test_forecast_job_per_country(spark, sf_small):

@@ -1,95 +1,16 @@
-"""Fitted models (tolerances: AUC above chance, importances sum to 1,
-save/load identical), K-Means, and the streaming KPIs against the batch
-aggregation of the same events."""
+"""K-Means, and the streaming KPIs against the batch aggregation of the same events."""
 
 import uuid
 
-import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tillroll.operators import churn, clusters, models, rfm
+from tillroll.operators import clusters, rfm
 from tillroll.operators.clean import clean_transactions
-from tillroll.session import durable_checkpoint, scratch_path
+from tillroll.session import scratch_path
 from tillroll.sources.retail import load_retail
 from tillroll.streaming import kpis
 
 
-@pytest.fixture(scope="module")
-def matrix(spark):
-    feats = churn.churn_features(clean_transactions(load_retail(spark, "/root/testdata/sf0.01")),
-                                 home="NATION_0")
-    return durable_checkpoint(churn.feature_matrix(churn.stratified_split(feats)))
-
-
-def test_models_fit_and_score(spark, matrix):
-    train = matrix.filter("is_test = 0")
-    test = matrix.filter("is_test = 1")
-    for name, kw in ((models.LOGISTIC, {}), (models.FOREST, {"trees": 20}),
-                     (models.BOOSTED, {"rounds": 5})):
-        model = models.fit(name, train, **kw)
-        auc = models.test_auc(model, test).first()["auc"]
-        assert 0.5 < auc <= 1.0, name
-    imp = models.feature_importances(model, top=None).toPandas()
-    assert imp["Importance"].sum() == pytest.approx(1.0)
-    assert len(imp) == len(churn.FEATURE_COLUMNS)
-
-
-def test_fit_does_not_depend_on_input_partitions(matrix):
-    train, test = matrix.filter("is_test = 0"), matrix.filter("is_test = 1")
-    scores = []
-    for parts in (1, 7):
-        model = models.fit(models.FOREST, train.repartition(parts), trees=10)
-        pred = models.probability_of_churn(model.transform(test))
-        scores.append(sorted((r.CustomerID, r.ChurnProbability) for r in pred.collect()))
-    assert scores[0] == scores[1]
-
-
-def test_a_tree_at_the_ceiling_raises(spark):
-    rows = [(i, float(i % 2), Vectors.dense([float(2 ** i), 0.0])) for i in range(45)]
-    df = spark.createDataFrame(rows, ["CustomerID", "label", "features"])
-    model = models.fit(models.FOREST, df, trees=2, forest_depth=4)
-    assert max(t.depth for t in model.stages[-1].trees) <= 4
-
-    class Deep:
-        stages = [type("S", (), {"trees": [type("T", (), {"depth": models.MAX_DEPTH})]})]
-    with pytest.raises(ValueError, match="greatest depth"):
-        models.check_depth(Deep, models.MAX_DEPTH)
-
-
-def test_leaderboard(matrix):
-    trees = [models.FOREST, models.BOOSTED]
-    board = models.leaderboard(matrix, trees, trees=2, rounds=1).toPandas()
-    assert sorted(board["model"]) == sorted(trees)
-    assert board["is_best"].sum() == 1
-    assert board.loc[board["is_best"] == 1, "test_auc"].item() == board["test_auc"].max()
-    assert board["cv_mean"].between(0, 1).all() and (board["cv_std"] >= 0).all()
-
-
-def test_scaling_is_by_the_population_deviation(matrix):
-    train = matrix.filter("is_test = 0")
-    model = models.fit(models.LOGISTIC, train)
-    col = models.vector_to_array("standardised")[0]
-    spread = model.transform(train).agg(F.stddev_pop(col), F.avg(col)).first()
-    assert spread[0] == pytest.approx(1.0) and spread[1] == pytest.approx(0.0, abs=1e-9)
-
-
-def test_cross_validation_on_fold_column(spark, matrix):
-    mean, std = models.cross_validate(models.LOGISTIC, matrix.filter("is_test = 0"))
-    assert 0.5 < mean <= 1.0 and std >= 0.0
-
-
-def test_model_roundtrip_identical(spark, matrix):
-    fitted = models.fit(models.BOOSTED, matrix.filter("is_test = 0"), rounds=3)
-    path = models.save_model(fitted, scratch_path(spark, "test_models", uuid.uuid4().hex))
-    loaded = models.load_model(path)
-    a = models.score_customers(fitted, matrix).select("CustomerID", "ChurnProbability")
-    b = models.score_customers(loaded, matrix).select(
-        "CustomerID", F.col("ChurnProbability").alias("p2"))
-    diff = a.join(b, "CustomerID").filter(F.col("ChurnProbability") != F.col("p2")).count()
-    assert diff == 0
-
-
 def test_kmeans_assigns_every_customer(spark):
     r = rfm.rfm_notebook(clean_transactions(load_retail(spark, "/root/testdata/sf0.001")))
     seg = clusters.kmeans_segments(r, k=4)

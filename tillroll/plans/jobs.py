@@ -18,6 +18,7 @@ lines from TPC-H-style tables instead.
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.expressions import HOME_COUNTRY
 from tillroll.operators import churn, forecast, models, reports, rfm, timeseries as ts
 from tillroll.operators.clean import clean_transactions
-from tillroll.operators.metrics import risk_distribution
+from tillroll.operators.metrics import classification_report, confusion_matrix, risk_distribution, roc_curve
 from tillroll.session import clear_scratch, durable_checkpoint, scratch_dir
 from tillroll.sources.retail import read_segmentation, read_transactions, tpch_retail_view
 from tillroll.sources.sinks import write_table
@@ -51,16 +52,38 @@ def segmentation_job(lines: DataFrame, out: str) -> dict[str, str]:
 
 
 def churn_job(lines: DataFrame, out: str, segmentation_csv: str | None = None,
-              home: str = HOME_COUNTRY, rounds: int = 100) -> dict[str, str]:
-    """Churn: features → split → boosted trees → scores for every customer,
-    risk distribution, retention list joined with the segmentation export,
-    the persisted model."""
+              home: str = HOME_COUNTRY, names: list[str] = models.MODEL_NAMES,
+              fit_args: dict[str, dict] | None = None) -> dict[str, str]:
+    """Churn: features → split → three models with cross-validation → leaderboard, report,
+    matrix and curves on the test rows, importances; scores of every customer by the
+    boosted trees, risk distribution, retention list joined with the segmentation export,
+    the models as tables.  ``fit_args`` are parameters of the fits by model name."""
     spark = lines.sparkSession
     feats = churn.stratified_split(churn.churn_features(clean_transactions(lines), home=home))
     matrix = durable_checkpoint(churn.feature_matrix(feats))
-    model = models.fit(models.BOOSTED, matrix.filter(F.col("is_test") == 0), rounds=rounds)
-    paths = {"model": models.save_model(model, f"{out}/churn_model")}
-    scored = durable_checkpoint(models.score_customers(model, matrix))
+    paths, scores, fits = {}, None, {}
+    for name in names:
+        fits[name] = models.fit(name, matrix, **(fit_args or {}).get(name, {}))
+        slug = name.lower().replace(" ", "_").replace("-", "_")
+        paths[f"model_{slug}"] = models.save_model(fits[name].table, f"{out}/model_{slug}")
+        each = fits[name].scores.withColumn("model", F.lit(name))
+        scores = each if scores is None else scores.unionByName(each)
+    scores = spark.read.parquet(write_table(scores, f"{out}/model_scores"))
+    paths["model_scores"] = f"{out}/model_scores"
+    board = spark.read.parquet(write_table(models.leaderboard(scores), f"{out}/model_leaderboard"))
+    paths["model_leaderboard"] = f"{out}/model_leaderboard"
+    best = board.agg(F.max(F.when(F.col("is_best") == 1, F.col("model")))).scalar()
+    judged = models.test_predictions(scores.where(F.col("model") == best))
+    paths["classification_report"] = write_table(classification_report(judged), f"{out}/classification_report")
+    paths["confusion_matrix"] = write_table(confusion_matrix(judged), f"{out}/confusion_matrix")
+    curves = [roc_curve(models.test_predictions(scores.where(F.col("model") == n)), "label", "score")
+              .withColumn("model", F.lit(n)) for n in names]
+    paths["roc_curves"] = write_table(reduce(DataFrame.unionByName, curves), f"{out}/roc_curves")
+    if models.BOOSTED not in names:
+        return paths
+    table = spark.read.parquet(paths["model_gradient_boosted_trees"])
+    paths["feature_importance"] = write_table(models.feature_importances(table, top=None), f"{out}/feature_importance")
+    scored = durable_checkpoint(models.score_customers(table, matrix))
     paths["churn_predictions"] = write_table(
         scored.select(*churn.CHURN_EXPORT_COLUMNS), f"{out}/churn_predictions", "csv")
     paths["risk_distribution"] = write_table(risk_distribution(scored), f"{out}/risk_distribution")

@@ -148,17 +148,21 @@ def q_ml10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auc(fixed_test(spark, sf_dir), "label", "score", "id")
 
 
-@register("ml15_roc_curve_fixed_score", churn_oracle(extra="""
+ROC_SQL = """
 hist AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM test GROUP BY score),
 cum AS (SELECT score, SUM(pos) OVER (ORDER BY score DESC) AS tps,
                SUM(neg) OVER (ORDER BY score DESC) AS fps FROM hist),
-tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM hist)""", body="""
+tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM hist)"""
+ROC_BODY = """
 SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS fps, CAST(0 AS BIGINT) AS tps,
        CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr
 UNION ALL
 SELECT score, CAST(fps AS BIGINT), CAST(tps AS BIGINT), CAST(fps AS DOUBLE) / CAST(N AS DOUBLE),
        CAST(tps AS DOUBLE) / CAST(P AS DOUBLE)
-FROM cum, tot"""))
+FROM cum, tot"""
+
+
+@register("ml15_roc_curve_fixed_score", churn_oracle(extra=ROC_SQL, body=ROC_BODY))
 def q_ml15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_curve(fixed_test(spark, sf_dir), "label", "score")
 
@@ -177,7 +181,7 @@ def _d0(a: str, b: str) -> str:
     return f"COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
 
 
-_REPORT_SQL = f"""
+REPORT_SQL = f"""
 c AS (
   SELECT COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS c00,
          COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS c01,
@@ -198,7 +202,7 @@ w2 AS (
 )"""
 
 
-@register("ml13_classification_report_fixed_score", churn_oracle(extra=_REPORT_SQL, body="""
+REPORT_BODY = """
 SELECT 0 AS row_order, 'Active' AS class_name, p0 AS precision, r0 AS recall, f0 AS f1_score,
        CAST(s0 AS BIGINT) AS support FROM w2
 UNION ALL SELECT 1, 'Churned', p1, r1, f1, CAST(s1 AS BIGINT) FROM w2
@@ -209,7 +213,10 @@ UNION ALL SELECT 4, 'weighted avg',
     COALESCE((p0 * s0 + p1 * s1) / NULLIF(CAST(s0 + s1 AS DOUBLE), 0), 0.0),
     COALESCE((r0 * s0 + r1 * s1) / NULLIF(CAST(s0 + s1 AS DOUBLE), 0), 0.0),
     COALESCE((f0 * s0 + f1 * s1) / NULLIF(CAST(s0 + s1 AS DOUBLE), 0), 0.0),
-    CAST(s0 + s1 AS BIGINT) FROM w2"""))
+    CAST(s0 + s1 AS BIGINT) FROM w2"""
+
+
+@register("ml13_classification_report_fixed_score", churn_oracle(extra=REPORT_SQL, body=REPORT_BODY))
 def q_ml13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.classification_report(fixed_test(spark, sf_dir), "label", "prediction")
 
