@@ -10,12 +10,13 @@ _WIDTH = len(FEATURE_COLUMNS)
 _N = _WIDTH + 1
 
 
-def _eliminated(matrix: str) -> str:
-    """``matrix`` (fit, w, m) with m reduced to the identity and the solution beside it."""
+def eliminated(matrix: str, n: int, keep: str) -> str:
+    """``matrix`` (``keep`` columns and m) with m, rows with their right side last, reduced to
+    the identity and the solution beside it."""
     out = matrix
-    for k in range(1, _N + 1):
-        out = (f"SELECT fit, w, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / r[{k}]) "
-               f"ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM ({out})")
+    for k in range(1, n + 1):
+        out = (f"SELECT {keep}, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / nullif(r[{k}], 0)) "
+               f"ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / nullif(m[{k}][{k}], 0)) END) AS m FROM ({out})")
     return out
 
 
@@ -44,7 +45,7 @@ def logistic_ctes(steps: int = STEPS, folds: int = 5) -> str:
         matrix = f"SELECT fit, any_value(w) AS w, list(r ORDER BY i) AS m FROM ({rows}) GROUP BY fit"
         out += [f"lp{s} AS MATERIALIZED ({p})",
                 f"lw{s + 1} AS MATERIALIZED (SELECT fit, list_transform(w, lambda v, i: v - m[i][{_N + 1}]) AS w "
-                f"FROM ({_eliminated(matrix)}))"]
+                f"FROM ({eliminated(matrix, _N, 'fit, w')}))"]
     out += [f"lw AS MATERIALIZED (SELECT * FROM lw{steps})",
             "lscored AS MATERIALIZED (SELECT fit, id, y AS label, 1 / (1 + exp(-list_dot_product(x, w))) AS score "
             "FROM lx JOIN lw ON fit = CASE WHEN is_test = 1 THEN 0 ELSE fold + 1 END)"]
