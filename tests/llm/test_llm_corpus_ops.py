@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -359,3 +360,62 @@ def test_pipeline_on_odd_tables(spark):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns  # the last replaces the column called copy
             out.collect()
+
+
+# Repetitive texts and short items of the benchmark ------------------------------
+
+
+def test_a_million_equal_tokens_take_seconds():
+    item = " ".join(["na"] * 20 + ["bat", "man"] + ["na"] * 8)
+    index = decontaminate.SeedIndex.build([(1, item), (2, " ".join(["na"] * 30)), (3, " ".join(prose(1, 30)))])
+    filters = index.filters()
+    began = time.monotonic()
+    found = index.overlaps("na " * 1_000_000, filters, 13, 0.2)
+    assert time.monotonic() - began < 30
+    assert [(f[0], f[1], f[4]) for f in found] == [(1, 20, 0), (2, 30, 0)]
+
+
+def test_stretches_of_rows_match_single_ones():
+    rng = np.random.default_rng(3)
+    for n in (5, 13, 14, 40):
+        equal = rng.random((200, n)) < rng.random((200, 1))
+        want = [(r, *s) for r, row in enumerate(equal) if (s := decontaminate.best_stretch(row, 0.2, min(13, n)))]
+        assert decontaminate.best_stretches(equal, 0.2, min(13, n)) == want
+
+
+def test_repetitive_texts_match_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        words = [f"v{rng.randrange(3)}" for _ in range(6)]
+        item = [rng.choice(words) for _ in range(rng.randrange(10, 30))]
+        doc = [rng.choice(words) for _ in range(rng.randrange(0, 20))] + item * rng.randrange(0, 3)
+        doc += [rng.choice(words) for _ in range(rng.randrange(0, 40))]
+        index = decontaminate.SeedIndex.build([(1, " ".join(item))])
+        x = np.array([index.vocabulary.get(w.encode(), 0) for w in doc], np.int64)
+        y = index.items[0][1]
+        hits = index._hits(x, index.filters())
+        places = {a - p for at, p in hits.get(0, []) for a in at.tolist()}
+        best = None
+        for d in sorted(places):
+            start, stop = max(0, -d), min(len(y), len(x) - d)
+            equal = x[start + d:stop + d] == y[start:stop]
+            if s := decontaminate.best_stretch(equal, 0.2, min(13, len(y))):
+                same = int(equal[s[0]:s[1]].sum())
+                if best is None or same > best[0]:
+                    best = (same, s[1] - s[0], start + d + s[0], start + s[0])
+        got = index.overlaps(" ".join(doc), index.filters(), 13, 0.2)
+        assert [(f[1], f[2], f[4], f[5]) for f in got] == ([best] if best else [])
+
+
+def test_short_items_are_reported_and_remove_nothing(spark):
+    rows = [(1, "Yes, it was so."), (2, "no"), (3, " ".join(prose(7, 20)))]
+    items = spark.createDataFrame([(1, "yes"), (2, "no no"), (3, "it was so"), (4, "x " * 400_000)], "item_id long, text string")
+    docs = frame(spark, rows)
+    hits = decontaminate.contaminated(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+    assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(1, 1), (1, 3)]
+    kept = decontaminate.without_contaminated(docs, F.col("text"), items, F.col("item_id"), F.col("text"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    same = spark.createDataFrame([(9, " ".join(prose(8, 40)))] * 50, "item_id long, text string")
+    blocks = decontaminate.benchmark_blocks(same, F.col("item_id"), F.col("text"), 1000)
+    sizes = [b.count() for b in blocks]
+    assert len(blocks) > 5 and sum(sizes) == 50 and max(sizes) < 20

@@ -31,6 +31,8 @@ from tillroll.llm.text import byte_slices, map_texts, written
 #: one substitution, of 15 with two, of 25 with four.
 MASKS = ("1110010111", "1011011101", "1101101011", "1111001101")
 SPAN = len(MASKS[0])
+#: Tokens of the shortest item whose overlap removes a document.
+LEAST_ITEM = 3
 _TOKEN_BYTES = bytes(c if chr(c).isalnum() and c < 0x80 or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -91,34 +93,96 @@ class SeedIndex:
             out.append(bits)
         return out
 
+    def _hits(self, x: np.ndarray, filters: list[np.ndarray]) -> dict[int, list[tuple[np.ndarray, int]]]:
+        """For each item that a seed of the document hits: (document places, item place) of
+        each of its seeds that does."""
+        out: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for (off, hashes, item, place), bits in zip(self.seeds, filters, strict=True):
+            at, h = _window_hashes(x, off)
+            some = bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
+            at, h = at[some], h[some]
+            order = np.argsort(h, kind="stable")
+            kinds, first, count = np.unique(h[order], return_index=True, return_counts=True)
+            lo, hi = np.searchsorted(hashes, kinds, "left"), np.searchsorted(hashes, kinds, "right")
+            for u in np.flatnonzero(hi > lo).tolist():
+                places = at[order[first[u]:first[u] + count[u]]]
+                for k in range(lo[u], hi[u]):
+                    out[int(item[k])].append((places, int(place[k])))
+        return out
+
     def overlaps(self, text: str | None, filters: list[np.ndarray], min_overlap: int,
                  max_substituted: float) -> list[tuple]:
         """(item id, matched tokens, compared tokens, item tokens, first document
         token, first item token) of the best stretch with each item that is long
-        enough."""
+        enough.  Item by item: its diagonals, then the stretches of many at a time."""
         ws = tokens(text)
         x = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int64, len(ws))
-        diagonals: set[tuple[int, int]] = set()
-        for (off, hashes, item, place), bits in zip(self.seeds, filters, strict=True):
-            at, h = _window_hashes(x, off)
-            some = bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-            at, h = at[some], h[some]
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for a, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                diagonals.update((int(item[k]), a - int(place[k])) for k in range(i, j))
-        best: dict[int, tuple] = {}
-        for k, d in sorted(diagonals):
+        out = []
+        for k, hits in sorted(self._hits(x, filters).items()):
             ident, y = self.items[k]
+            found = best_diagonal(x, y, diagonals(hits, len(x), len(y)), max_substituted, min(min_overlap, len(y)))
+            if found:
+                same, d, i, j = found
+                out.append((ident, same, j - i, len(y), d + i, i))
+        return out
+
+
+def diagonals(hits: list[tuple[np.ndarray, int]], n: int, m: int) -> np.ndarray:
+    """The distinct differences of document and item place, ascending; marked in an array
+    where seeds repeat, so that memory follows the lengths, not the hits."""
+    if sum(len(p) for p, _ in hits) < n + m:
+        return np.unique(np.concatenate([p - place for p, place in hits]))
+    marks = np.zeros(n + m + 1, bool)
+    for places, place in hits:
+        marks[places - place + m] = True
+    return np.flatnonzero(marks) - m
+
+
+def best_diagonal(x: np.ndarray, y: np.ndarray, ds: np.ndarray, max_substituted: float,
+                  least: int) -> tuple[int, int, int, int] | None:
+    """(equal tokens, diagonal, item start, item end) of the first diagonal whose best stretch
+    has the most equal tokens.  Diagonals on which the item lies wholly inside the document
+    are laid out as the rows of a matrix, some at a time."""
+    best = None
+    inside = (ds >= 0) & (ds + len(y) <= len(x))
+    step = max(1, (1 << 20) // len(y))
+    for at in range(0, len(ds), step):
+        part, whole = ds[at:at + step], inside[at:at + step]
+        found = []
+        if whole.any():
+            rows = part[whole]
+            equal = np.lib.stride_tricks.sliding_window_view(x, len(y))[rows] == y
+            found += [(int(equal[r, i:j].sum()), int(rows[r]), i, j)
+                      for r, i, j in best_stretches(equal, max_substituted, least)]
+        for d in part[~whole].tolist():
             start, stop = max(0, -d), min(len(y), len(x) - d)
             equal = x[start + d:stop + d] == y[start:stop]
-            found = best_stretch(equal, max_substituted, min(min_overlap, len(y)))
-            if found is None:
-                continue
-            i, j = found
-            same = int(equal[i:j].sum())
-            if k not in best or same > best[k][1]:
-                best[k] = (ident, same, j - i, len(y), start + d + i, start + i)
-        return list(best.values())
+            if stretch := best_stretch(equal, max_substituted, least):
+                found.append((int(equal[slice(*stretch)].sum()), d, start + stretch[0], start + stretch[1]))
+        for f in found:
+            if best is None or (f[0], -f[1]) > (best[0], -best[1]):
+                best = f
+        if best and best[0] == len(y):
+            break  # no later diagonal has more
+    return best
+
+
+def best_stretches(equal: np.ndarray, max_substituted: float, least: int) -> list[tuple[int, int, int]]:
+    """(row, start, end) of ``best_stretch`` of each row that has one."""
+    rows = np.flatnonzero(equal.sum(1) >= (1 - max_substituted) * least - 1e-9)
+    n = equal.shape[1]
+    if n < least or not len(rows):
+        return []
+    lost = np.cumsum(~equal[rows], 1)
+    score = max_substituted * np.arange(n + 1) - np.concatenate([np.zeros((len(rows), 1)), lost], 1)
+    low = np.minimum.accumulate(score[:, :n + 1 - least], 1)
+    gain = score[:, least:] - low
+    top = (gain >= gain.max(1, keepdims=True) - 1e-9).argmax(1)
+    each = np.arange(len(rows))
+    kept = np.flatnonzero(gain[each, top] >= -1e-9)
+    ends = (score[:, :n + 1 - least] <= low[each, top][:, None] + 1e-9) & (np.arange(n + 1 - least) <= top[:, None])
+    start = n - least - ends[:, ::-1].argmax(1)
+    return [(int(rows[k]), int(start[k]), int(top[k]) + least) for k in kept.tolist()]
 
 
 def best_stretch(equal: np.ndarray, max_substituted: float, least: int = 0) -> tuple[int, int] | None:
@@ -141,16 +205,21 @@ def best_stretch(equal: np.ndarray, max_substituted: float, least: int = 0) -> t
 
 def benchmark_blocks(benchmark: DataFrame, item_id: Column, item_text: Column,
                      block_bytes: int) -> list[DataFrame]:
-    """Items (item_id, _text) in blocks of about ``block_bytes`` of text."""
+    """Items (item_id, _text) in blocks of about ``block_bytes`` of text, dealt by row: an
+    item that repeats is spread like others."""
     items = benchmark.select(item_id.alias("item_id"), item_text.alias("_text")).where("_text is not null")
     size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = size // block_bytes + 1
-    return [items.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == b) for b in range(blocks)]
+    if blocks == 1:
+        return [items]
+    dealt = written(items.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "benchmark")
+    return [dealt.where(F.col("_block") == b).drop("_block") for b in range(blocks)]
 
 
-def _shared_index(block: DataFrame):
+def _shared_index(block: DataFrame, least_item: int = 1):
     rows = sorted(map(tuple, block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return block.sparkSession.sparkContext.broadcast(SeedIndex.build(rows))
+    return block.sparkSession.sparkContext.broadcast(
+        SeedIndex.build([r for r in rows if len(tokens(r[1])) >= least_item]))
 
 
 def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataFrame,
@@ -163,9 +232,13 @@ def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataF
     A pair overlaps if, with the item laid over the document at some place, a
     stretch of ``min_overlap`` tokens or more (the whole item, if it is shorter)
     has a share of ``max_substituted`` substitutions at most, and a mask hits
-    there.  Null and empty texts overlap nothing; repeated rows and repeated
-    items give rows each; ids may be null.  ``block_bytes`` bounds the benchmark
-    text sent to the tasks at once; each block reads the documents.
+    there; items shorter than a mask are found only where all their tokens stand.
+    Of stretches with equally many matches the first diagonal's counts, and on it the
+    last.  Null and empty texts overlap nothing; very long and repetitive texts are
+    read whole, in memory that follows their length; repeated rows and repeated items
+    give rows each; ids may be null.  Every item is reported, a single word too.
+    ``block_bytes`` bounds the benchmark text sent to the tasks at once; each block
+    reads the documents.
     """
     src = docs.select(doc_id.alias("doc_id"), text.alias("_text"))
 
@@ -196,12 +269,13 @@ def contaminated(docs: DataFrame, doc_id: Column, text: Column, benchmark: DataF
 
 def without_contaminated(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: Column,
                          item_text: Column, min_overlap: int = 13, max_substituted: float = 0.2,
-                         block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that ``contaminated`` pairs with no item; no shuffle.
-    Between blocks the rows that are left are written."""
+                         block_bytes: int = 8 << 20, least_item: int = LEAST_ITEM) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` pairs with no item of ``least_item``
+    tokens or more (a short answer such as a single word stands in too many texts 
+    show a leak); no shuffle.  Between blocks the rows that are left are written."""
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     for block in blocks:
-        shared = _shared_index(block)
+        shared = _shared_index(block, least_item)
 
         def make(shared=shared):
             index = shared.value
