@@ -221,6 +221,30 @@ def test_random_digits_are_found(spark):
     assert all(r.spans == [] for r in secret_scan.secret_spans(docs, [F.col("value")], F.col("text")).collect())
 
 
+def entropy_spans(spark, texts):
+    docs = spark.createDataFrame([(t, f"see {t} end") for t in texts], "value string, text string")
+    out = secret_scan.secret_spans(docs, [F.col("value")], F.col("text")).collect()
+    return {r.value: [s.value for s in r.spans if s.kind == "entropy"] for r in out}
+
+
+def test_random_letters_of_both_cases_are_found(spark):
+    rng = np.random.default_rng(2)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    texts = ["".join(rng.choice(alphabet, 32)) for _ in range(300)]
+    found = entropy_spans(spark, texts)
+    assert sum(found[t] == [t] for t in texts) >= 0.9 * len(texts)
+    names = ["thequickbrownfoxjumpsoverthelazydog", "ClassNotFoundExceptionHandlerFactory", "AbstractSingletonProxyFactoryBean",
+             "getCustomerAccountBalanceByIdentifier", "Donaudampfschifffahrtsgesellschaft"]
+    assert all(not v for v in entropy_spans(spark, names).values())
+
+
+def test_fillers_suppress_their_windows_only(spark):
+    key = "Zk3v9QpLr8TtYw2XcB7nMd5H"
+    texts = [key, key + "0000", "xxxx" + key + "xxxxxxxx", key[:12] + "0000" + key[12:], key + "Example"]
+    found = entropy_spans(spark, texts)
+    assert [found[t] == [t] for t in texts] == [True, True, True, False, False]
+
+
 def test_running_sums(spark):
     for n in (0, 1, 2, 7, 100, 1000):
         xs = list(range(1, n + 1))

@@ -40,16 +40,21 @@ candidates AS (
   WHERE NOT ({allowed}) AND NOT EXISTS (
     SELECT 1 FROM base b WHERE b.doc_id = k.doc_id AND b.stop >= k.stop
       AND b.stop - length(b.value) <= k.stop - length(k.value))),
-windows AS (SELECT c, pos, substr(value, pos, {w}) AS win FROM candidates,
-            unnest(range(1, length(value) - {w - 2})) AS u(pos)),
-chars AS (SELECT c, pos, substr(win, i, 1) AS ch, count(*) AS n FROM windows,
+parts AS (SELECT c, k, ps[k] AS part FROM (
+            SELECT c, string_split_regex(value, {_text(secret_scan.FILLER)}) AS ps FROM candidates), unnest(range(1, len(ps) + 1)) AS u(k)),
+windows AS (SELECT c, k, pos, substr(part, pos, {w}) AS win FROM parts,
+            unnest(range(1, length(part) - {w - 2})) AS u(pos)),
+chars AS (SELECT c, k, pos, substr(win, i, 1) AS ch, count(*) AS n FROM windows,
           unnest(range(1, {w + 1})) AS u(i) GROUP BY ALL),
-sums AS (SELECT c, pos, sum(CAST(round(n * log2(n) * {secret_scan.SCALE}) AS BIGINT)) AS s FROM chars GROUP BY ALL),
+sums AS (SELECT c, k, pos, sum(CAST(round(n * log2(n) * {secret_scan.SCALE}) AS BIGINT)) AS s FROM chars GROUP BY ALL),
 best AS (SELECT c, min(s) AS s FROM sums GROUP BY c),
 entropy AS (
   SELECT k.* EXCLUDE (c), {len(secret_scan.BASE)} AS rank FROM candidates k JOIN best USING (c)
   WHERE s <= CASE WHEN regexp_matches(value, '^[0-9]+$') THEN {limits["digits"]}
                   WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') THEN {limits["hex"]}
+                  WHEN regexp_matches(value, '^[A-Za-z]+$')
+                    AND len(regexp_extract_all(value, '[a-z][A-Z]')) + len(regexp_extract_all(value, '[A-Z][a-z]'))
+                        >= {secret_scan.CHANGES} * (length(value) - 1) THEN {limits["cased"]}
                   WHEN NOT regexp_matches(value, '[0-9]') THEN {limits["letters"]}
                   ELSE {limits["mixed"]} END),
 spans AS (SELECT doc_id, kind, rank, stop - length(value) AS start, stop FROM (
