@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tillroll.operators import churn, rfm, sales
+from tillroll.operators import churn, profile, rfm, sales
 from tillroll.operators.clean import clean_transactions
 from tillroll.operators.ranking import global_rank
 from tillroll.sources.retail import load_retail
@@ -54,6 +54,8 @@ def test_no_expand_over_lines(lines):
     orders, daily = plan(churn.customer_orders(c)), plan(ts.daily_exact(c, "country", with_total=True))
     assert "Expand" not in orders and "SortAggregate" not in orders
     assert "Expand" not in daily
+    for report in (sales.weekly_sales_sql, sales.product_performance, sales.geographic_analysis, profile.overview):
+        assert "Expand" not in plan(report(lines)), report.__name__
 
 
 def test_running_sums_move_the_table_once(spark):
