@@ -101,10 +101,14 @@ class SeedIndex:
             at, h = _window_hashes(x, off)
             some = bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
             at, h = at[some], h[some]
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            at, h = at[hi > lo], h[hi > lo]
+            if not len(at):
+                continue
             order = np.argsort(h, kind="stable")
             kinds, first, count = np.unique(h[order], return_index=True, return_counts=True)
             lo, hi = np.searchsorted(hashes, kinds, "left"), np.searchsorted(hashes, kinds, "right")
-            for u in np.flatnonzero(hi > lo).tolist():
+            for u in range(len(kinds)):
                 places = at[order[first[u]:first[u] + count[u]]]
                 for k in range(lo[u], hi[u]):
                     out[int(item[k])].append((places, int(place[k])))
