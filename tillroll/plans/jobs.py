@@ -114,14 +114,24 @@ def forecast_job(lines: DataFrame, out: str, by: str | None = None) -> dict[str,
     }
 
 
+class KpiQueries(list):
+    """The running queries of the KPI table."""
+
+    def awaitTermination(self) -> None:
+        for query in self:
+            query.awaitTermination()
+
+
 def kpi_stream_job(spark: SparkSession, events_dir: str, out: str, checkpoint: str,
-                   every: str | None = None):
-    """Streaming weekly KPIs over event files: runs to completion over what
-    is there (``every=None``, availableNow) or keeps running on a
-    processing-time trigger.  Returns the streaming query."""
-    stream = kpis.weekly_kpis(kpis.event_stream(spark, events_dir))
-    return kpis.run_to_table(stream, out, checkpoint, available_now=every is None,
-                             processing_time=every)
+                   every: str | None = None) -> KpiQueries:
+    """Streaming weekly KPIs and exact distinct users over event files: run to completion
+    over what is there (``every=None``, availableNow) or keep running on a processing-time
+    trigger.  Returns the two streaming queries."""
+    events = kpis.event_stream(spark, events_dir)
+    how = {"available_now": every is None, "processing_time": every}
+    return KpiQueries([
+        kpis.run_to_table(kpis.weekly_kpis(events, approx_users=False), out, f"{checkpoint}/kpis", **how),
+        kpis.run_users_to_table(kpis.weekly_users(events), out, f"{checkpoint}/users", **how)])
 
 
 def main(argv: list[str] | None = None) -> None:

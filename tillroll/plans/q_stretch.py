@@ -23,7 +23,7 @@ from tillroll.streaming import kpis
 @register("str1_streaming_weekly_event_kpis", """
 SELECT strftime(date_trunc('week', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
        COUNT(*) AS events, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
-       COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases
+       COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases, COUNT(DISTINCT user_id) AS users
 FROM events GROUP BY date_trunc('week', ts), event_type""")
 def q_str1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the stream over the event files to completion (availableNow) and
@@ -31,13 +31,14 @@ def q_str1(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = uuid.uuid4().hex
     out = scratch_path(spark, "streams", run, "out")
     ckpt = scratch_path(spark, "streams", run, "checkpoint")
-    stream = kpis.weekly_kpis(kpis.event_stream(spark, sf_dir, "events.parquet"),
-                              approx_users=False)
-    query = kpis.run_to_table(stream, out, ckpt, available_now=True)
-    query.awaitTermination()
+    events = kpis.event_stream(spark, sf_dir, "events.parquet")
+    running = [kpis.run_to_table(kpis.weekly_kpis(events, approx_users=False), out, f"{ckpt}/kpis"),
+               kpis.run_users_to_table(kpis.weekly_users(events), out, f"{ckpt}/users")]
+    for query in running:
+        query.awaitTermination()
     res = kpis.read_latest(spark, out)
     return res.select(ts_text("window_start"), "event_type", "events",
-                      F.col("total_value").cast("double").alias("total_value"), "purchases")
+                      F.col("total_value").cast("double").alias("total_value"), "purchases", "users")
 
 
 def kmeans_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where there is no folder."""
+    fs, p = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file; it is there or it is not, on any store."""
+    fs, p = _path(spark, path)
+    fs.create(p, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of a result that its writer has replaced."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def folder_version(spark: SparkSession, path: str) -> str:
     """Changes when a file in the folder, or in a folder in it, is written."""
     fs, p = _path(spark, path)

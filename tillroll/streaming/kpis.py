@@ -1,28 +1,37 @@
 """Structured Streaming KPIs over the event stream (STR1, the claimed
 "real-time KPIs").
 
-File source → Monday-aligned weekly tumbling windows per event type →
-update-mode micro-batches upserted into a result folder.  Each micro-batch is
-written under its batch id through ``foreachBatch``; the reader keeps the latest
-version of every window, so a re-run batch (after a failure, with the
-checkpoint) overwrites rather than duplicates.
+File source → Monday-aligned weekly tumbling windows per event type → update-mode
+micro-batches.  A second query de-duplicates (week, type, user) in keyed state; the new
+ones, counted in each micro-batch, add up to exact distinct users.
+
+Each query keeps its result as a snapshot: a micro-batch is merged with the snapshot so
+far, written as the next version and made current by one empty marker file, which either
+exists or does not.  A batch that runs again after a failure finds its marker and does
+nothing, or finds none and writes the same version again.  Versions before the last two
+are deleted, so that folders and reads are bounded by the keys, not by the batches.
 
 There is no watermark: its only use would be to drop state, and with it events
-that arrive late.  The state has a row for each calendar week and event type.
+that arrive late.  The state has a row for each calendar week, event type and user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import instant_to_ntz, ntz_to_instant
-from tillroll.session import is_directory, path_exists
+from tillroll.session import is_directory, names_in, remove, touch
 from tillroll.sources.schema import EVENTS_SCHEMA
 
 # Epoch (1970-01-01) was a Thursday: a 4-day offset starts windows on Monday.
 WEEK = "7 days"
 MONDAY_OFFSET = "4 days"
+KEYS = ("window_start", "event_type")
+#: Folder of the markers: number of the version, batch id and query id.
+MARKS = "_current"
 KPI_SCHEMA = ("window_start timestamp_ntz, window_end timestamp_ntz, event_type string, "
               "events bigint, total_value decimal(28,2), purchases bigint")
 
@@ -60,14 +69,73 @@ def weekly_kpis(events: DataFrame, approx_users: bool = True) -> DataFrame:
                                     if a != "approx_users" or approx_users]))
 
 
-def run_to_table(kpis: DataFrame, out_dir: str, checkpoint_dir: str,
-                 available_now: bool = True, processing_time: str | None = None):
-    """Start the stream: update-mode micro-batches written per batch id."""
+def weekly_users(events: DataFrame) -> DataFrame:
+    """The first event of each (week, type, user), once over the whole stream."""
+    timed = events.where("user_id is not null").withColumn("event_time", ntz_to_instant("ts"))
+    week = F.window("event_time", WEEK, WEEK, MONDAY_OFFSET)
+    return timed.select(instant_to_ntz(week["start"]).alias("window_start"), "event_type", "user_id").dropDuplicates(
+        ["window_start", "event_type", "user_id"])
+
+
+def current_version(spark: SparkSession, folder: str) -> tuple[int, int, str] | None:
+    """(number, batch id, query id) of the current snapshot: the last marker."""
+    marks = [m.split(".") for m in names_in(spark, f"{folder}/{MARKS}") if not m.startswith((".", "_"))]
+    return max(((int(n), int(b), q) for n, b, q in marks), default=None)
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
+    current = current_version(spark, folder)
+    return spark.read.parquet(f"{folder}/v={current[0]}") if current else None
+
+
+def commit_batch(batch: DataFrame, batch_id: int, folder: str, query_id: str, merge) -> None:
+    """Make ``merge(batch, snapshot so far)`` the current snapshot.  A batch of the same query
+    that is in the snapshot already changes nothing; another query begins anew."""
+    spark = batch.sparkSession
+    current = current_version(spark, folder)
+    same = current is not None and current[2] == query_id
+    if same and current[1] >= batch_id:
+        return
+    number = current[0] + 1 if current else 0
+    merged = merge(batch, snapshot(spark, folder) if same else None)
+    merged.write.mode("overwrite").parquet(f"{folder}/v={number}")
+    touch(spark, f"{folder}/{MARKS}/{number}.{batch_id}.{query_id}")
+    # The version before stays for those who are reading it.
+    for m in names_in(spark, f"{folder}/{MARKS}"):
+        if not m.startswith((".", "_")) and int(m.split(".")[0]) < number - 1:
+            remove(spark, f"{folder}/{MARKS}/{m}")
+    for v in names_in(spark, folder):
+        if v.startswith("v=") and int(v[2:]) < number - 1:
+            remove(spark, f"{folder}/{v}")
+
+
+def latest_rows(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Rows of the batch, and those before that it does not replace."""
+    if before is None:
+        return batch
+    return batch.unionByName(before.join(batch.select(*KEYS), [*KEYS], "left_anti"))
+
+
+def added_users(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Users so far: new ones are counted and added."""
+    new = batch.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("users"))
+    if before is None:
+        return new
+    return before.unionByName(new).groupBy(*KEYS).agg(F.sum("users").alias("users"))
+
+
+def _start(stream: DataFrame, mode: str, folder: str, checkpoint_dir: str, merge, available_now: bool,
+           processing_time: str | None):
+    known: list[str] = []
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
+        if not known:  # the checkpoint names the query
+            known.append(json.loads(batch.sparkSession.read.text(f"{checkpoint_dir}/metadata").first()[0])["id"])
+        batch.persist()
+        commit_batch(batch, batch_id, folder, known[0], merge)
+        batch.unpersist()
 
-    writer = (kpis.writeStream.outputMode("update").foreachBatch(upsert)
+    writer = (stream.writeStream.outputMode(mode).foreachBatch(upsert)
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -76,12 +144,23 @@ def run_to_table(kpis: DataFrame, out_dir: str, checkpoint_dir: str,
     return writer.start()
 
 
-def read_latest(spark: SparkSession, out_dir: str,
-                keys: tuple[str, ...] = ("window_start", "event_type")) -> DataFrame:
-    """Current state of the KPI table: the latest batch's row per key (none before
-    the first batch)."""
-    if not path_exists(spark, out_dir):
+def run_to_table(kpis: DataFrame, out_dir: str, checkpoint_dir: str,
+                 available_now: bool = True, processing_time: str | None = None):
+    """Start the stream of ``weekly_kpis``: its current rows by key."""
+    return _start(kpis, "update", f"{out_dir}/kpis", checkpoint_dir, latest_rows, available_now, processing_time)
+
+
+def run_users_to_table(users: DataFrame, out_dir: str, checkpoint_dir: str,
+                       available_now: bool = True, processing_time: str | None = None):
+    """Start the stream of ``weekly_users``: distinct users by key."""
+    return _start(users, "append", f"{out_dir}/users", checkpoint_dir, added_users, available_now, processing_time)
+
+
+def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Current state of the KPI table: a row per week and event type (none before the first
+    batch), with the distinct ``users`` so far if their query has run."""
+    kpis = snapshot(spark, f"{out_dir}/kpis")
+    if kpis is None:
         return spark.createDataFrame([], KPI_SCHEMA)
-    df = spark.read.parquet(out_dir)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch_id")
+    users = snapshot(spark, f"{out_dir}/users")
+    return kpis if users is None else kpis.join(users, [*KEYS], "left").withColumn("users", F.coalesce("users", F.lit(0)))
