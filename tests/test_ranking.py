@@ -123,3 +123,43 @@ def test_approximate_edges_option_is_close(spark):
     for e, a in zip(exact, approx):
         # an approximate edge lies within 1/accuracy · n ranks of the exact one
         assert abs(np.searchsorted(ranks, a) - np.searchsorted(ranks, e)) <= 5000 / 10_000 + 2
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.integers(-3, 3).map(float)),
+                min_size=1, max_size=60))
+def test_values_at_ranks_are_those_of_a_sort(spark, values):
+    df, _ = _frame(spark, values)
+    ranks = [lambda n, s=s: int(s * (n - 1)) for s in (0, 0.2, 0.5, 0.9, 1)]
+    with_nulls = df.withColumn("y", -F.col("x")).unionByName(df.limit(1).selectExpr("id", "double(null) AS x", "double(null) AS y"))
+    got = ranking.values_at_ranks(with_nulls, {"x": ranks, "y": ranks[:3]})
+    up = sorted(values)
+    assert got["x"] == [up[r(len(up))] for r in ranks]
+    down = sorted(-v for v in values)
+    assert got["y"] == [down[r(len(up))] for r in ranks[:3]]
+
+
+def test_selection_shuffles_no_rows(spark, monkeypatch):
+    """Heavy tails and a hot value: few rounds, none of which moves a row."""
+    rng = np.random.default_rng(4)
+    df, pdf = _frame(spark, np.concatenate([np.exp(rng.normal(0, 12, 5000)), np.full(2500, 7.0)]))
+    rounds = []
+    collect = type(df).collect
+
+    def seen(self):
+        rounds.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", seen)
+    q = ranking.exact_quantiles(df, "x", "id", [(1, 4), (1, 2), (3, 4)], ["a", "b", "c"], digits=None)
+    monkeypatch.undo()
+    assert list(q.first()) == pytest.approx(pdf["x"].quantile([0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+    assert 0 < len(rounds) < 15
+    for p in rounds:
+        below = p.split("hashpartitioning(")[-1]
+        assert "partial_count" in below and "sortWithin" not in p
+
+
+def test_selection_in_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, x double")
+    assert list(ranking.exact_quantiles(df, "x", "id", [(1, 2)], ["m"]).first()) == [None]

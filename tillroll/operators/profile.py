@@ -59,7 +59,7 @@ def describe(df: DataFrame, columns: list[str], key: str, digits: int = 2,
     """PRF4: pandas-style ``describe().round(2)`` with *exact* quartiles
     (linear interpolation; ``DataFrame.summary`` would give approximate ones).
     Columns named in ``bounded`` (integers from a small domain) use Spark's
-    exact ``percentile``; the others the ranking path, exact at any
+    exact ``percentile``; the others selection by counting, exact at any
     cardinality.  Long table: statistic, then one double column per column."""
     per_col = []
     for c in columns:

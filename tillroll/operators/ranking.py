@@ -1,4 +1,4 @@
-"""Exact global ranks, tiles and quantile edges without a single-partition window.
+"""Exact global ranks and tiles without a single-partition window, quantiles without a sort.
 
 ``NTILE(5) OVER (ORDER BY x)`` and ``rank(method='first')`` have no PARTITION
 BY; Spark would plan ``Exchange SinglePartition`` and sort every customer in
@@ -138,6 +138,54 @@ def qcut_rank_first(rank: str | Column, total: str | Column, q: int = 5) -> Colu
         F.greatest(F.lit(1), _idiv((k - 1) * q + n - 2, n - 1))).cast("int")
 
 
+#: Parts into which a round cuts an interval of values.
+PARTS = 256
+_GREATEST = 1.7976931348623157e308
+
+
+def values_at_ranks(df: DataFrame, ranks: dict[str, list]) -> dict[str, list[float | None]]:
+    """The values at 0-based ranks of each column among its non-null values, as doubles.
+
+    ``ranks``: column → functions from the number of values to a rank.  Selection without
+    sorting: a round counts, for all columns at once, the values in 256 equal parts of each
+    interval that still holds a wanted rank, and keeps the part with the rank, narrowed to
+    the least and greatest value in it, until both are one value.  Rows are not shuffled;
+    a round returns 256 rows for each interval at most.  Infinite values and NaN count as
+    the greatest finite ones."""
+    columns = list(ranks)
+
+    def finite(v: Column) -> Column:  # least and greatest pass over nulls
+        return F.when(F.isnan(v), _GREATEST).when(
+            v.isNotNull(), F.greatest(F.least(v, F.lit(_GREATEST)), F.lit(-_GREATEST)))
+
+    value = {c: finite(F.col(c).cast("double")) for c in columns}
+    ends = df.agg(*[f(value[c]).alias(f"{n}{i}") for i, c in enumerate(columns)
+                    for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    # (column, wanted rank) → (least, greatest, values below); found once both ends agree.
+    wanted = {(c, k): (ends[f"lo{i}"], ends[f"hi{i}"], 0) for i, c in enumerate(columns) if ends[f"n{i}"]
+              for k in {r(ends[f"n{i}"]) for r in ranks[c]}}
+    while open_ := sorted({(c, lo, hi, below) for (c, _), (lo, hi, below) in wanted.items() if lo < hi}):
+        cells = []
+        for i, (c, lo, hi, _) in enumerate(open_):
+            v = value[c]
+            part = F.least(F.lit(PARTS - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * PARTS).cast("int"))
+            cells.append(F.when((v >= lo) & (v <= hi), F.struct((i * PARTS + part).alias("cell"), v.alias("v"))))
+        counted = df.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").groupBy("x.cell").agg(
+            F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).orderBy("cell").collect()
+        for i, (c, lo, hi, below) in enumerate(open_):
+            parts = [r for r in counted if r["cell"] // PARTS == i]
+            for (column, k), held in wanted.items():
+                if column == c and held == (lo, hi, below):
+                    before = below
+                    for r in parts:
+                        if k < before + r["n"]:
+                            wanted[column, k] = (r["lo"], r["hi"], before)
+                            break
+                        before += r["n"]
+    return {c: [wanted[c, r(ends[f"n{i}"])][0] if ends[f"n{i}"] else None for r in ranks[c]]
+            for i, c in enumerate(columns)}
+
+
 def exact_quantiles(df: DataFrame, value: str, key: str,
                     probs: list[tuple[int, int]], names: list[str],
                     digits: int | None = 9) -> DataFrame:
@@ -145,28 +193,24 @@ def exact_quantiles(df: DataFrame, value: str, key: str,
     'linear', SQL ``percentile``/``quantile_cont``) of ``value``.
 
     ``probs`` are exact fractions ``(j, q)`` = j/q, so positions are integer
-    arithmetic.  Exact at any cardinality: after one global ranking only the
-    ≤ 2·len(probs) rows at the interpolation positions are read.  NULL values
-    are ignored, as in the SQL aggregates."""
-    ranked = global_rank(df.select(value, key).filter(F.col(value).isNotNull()), [value, key])
-    k, n = F.col(RANK), F.col(TOTAL)
-    los = [_idiv((n - 1) * j, F.lit(q)) for j, q in probs]
-    cond = F.lit(False)
-    for lo in los:
-        cond = cond | (k == lo + 1) | (k == lo + 2)
-    aggs = []
-    for i, ((j, q), lo) in enumerate(zip(probs, los)):
-        aggs += [F.max(F.when(k == lo + 1, F.col(value))).alias(f"_lo{i}"),
-                 F.max(F.when(k == lo + 2, F.col(value))).alias(f"_hi{i}"),
-                 F.max(((n - 1) * j - lo * q) / q).alias(f"_fr{i}")]
-    one = ranked.filter(cond).agg(*aggs)
+    arithmetic.  Exact at any cardinality and without a sort (``values_at_ranks``).
+    NULL values are ignored, as in the SQL aggregates; ``key`` is not needed."""
+    size: list[int] = []
+
+    def rank(j: int, q: int, up: int):
+        def of(n: int) -> int:
+            size[:] = [n]
+            return min((n - 1) * j // q + up, n - 1)
+        return of
+
+    found = values_at_ranks(df, {value: [rank(j, q, up) for j, q in probs for up in (0, 1)]})[value]
     outs = []
-    for i, name in enumerate(names):
-        lo_v = F.col(f"_lo{i}").cast("double")
-        hi_v = F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}")).cast("double")
-        v = lo_v + F.coalesce(F.col(f"_fr{i}"), F.lit(0.0)) * (hi_v - lo_v)
+    for i, ((j, q), name) in enumerate(zip(probs, names, strict=True)):
+        lo, hi = found[2 * i:2 * i + 2]
+        share = ((size[0] - 1) * j - (size[0] - 1) * j // q * q) / q if size else 0.0
+        v = F.lit(lo).cast("double") + F.lit(share) * (F.lit(hi).cast("double") - F.lit(lo).cast("double"))
         outs.append((F.round(v, digits) if digits is not None else v).alias(name))
-    return one.select(*outs)
+    return df.sparkSession.range(1).select(*outs)
 
 
 def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
@@ -176,8 +220,8 @@ def quantile_edges(df: DataFrame, value: str, key: str, q: int = 5,
 
     ``bounded_domain=True`` (integer values from a small, data-size-independent
     domain, e.g. days of recency) uses Spark's exact ``percentile`` aggregate,
-    whose value→count map is bounded by the domain; otherwise the ranking path
-    is used, which is exact at any cardinality.  ``approx_accuracy`` opts into
+    whose value→count map is bounded by the domain; otherwise values are selected
+    by counting, which is exact at any cardinality.  ``approx_accuracy`` opts into
     ``percentile_approx`` (one aggregation with bounded sketches; edges are
     then observed values within 1/accuracy in rank, not interpolated)."""
     if approx_accuracy:
