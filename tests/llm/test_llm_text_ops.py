@@ -151,6 +151,31 @@ def test_token_counts_of_whole_documents(spark):
     assert token_counts.TextLengths(model)(ODD_TEXTS) == [len(sp.encode(t or "")) for t in ODD_TEXTS]
 
 
+# Ids that repeat, texts without blanks -------------------------------------
+
+def test_of_a_repeated_id_one_row_teaches(spark):
+    hot = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("ein Satz\nund noch einer").alias("text"),
+                                     F.lit("de").alias("lang"))
+    rest = spark.createDataFrame([(9, "some words\nof text", "en"), (10, "more of these words", "en")],
+                                 "doc_id long, text string, lang string")
+    docs = hot.unionByName(rest)
+    labels = spark.createDataFrame([(7, 1), (9, 0)], "doc_id long, quality int")
+    lines = quality_lines.training_lines(docs, labels)
+    assert [(len(x), y) for x, y in lines] == [(2, 1), (2, 0)]
+    many = langid.fit_language_model(docs)
+    assert sorted(many.langs) == ["de", "en"]
+    assert many.predict(["more of these words"])[0] == ["en"]
+
+
+def test_pieces_without_blanks_are_not_remembered():
+    import public_tokenizers
+    lengths = token_counts.TextLengths(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = lengths.encode
+    texts = ["a " + "漢字" * 40_000 + " b", "x" * 5000 + " y" * 10, "short words here " + "z" * 65]
+    assert lengths(texts) == plain(texts) == lengths(texts)
+    assert max(map(len, lengths.known)) <= token_counts.LONGEST
+
+
 # Secrets ------------------------------------------------------------------
 
 def brute_spans(text):

@@ -127,8 +127,11 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Document frequencies cover all of them.  The weights see ``sample_docs`` of
     them at most, about as many of each language where there are enough, chosen
-    by a hash of the id; one in five of these fits the temperature instead.
-    Documents without id, language or letter teach nothing.  An empty table
+    by a hash of the id; one in five of these fits the temperature instead.  Of
+    rows with one id the least by language, then grams teaches.  With more than
+    ``sample_docs`` languages the rarest are not learned and never predicted.
+    Documents without id, language or letter teach nothing; very long texts are
+    read whole.  An empty table
     gives a model without languages, which answers ``und``.
     """
     known = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"),
@@ -158,8 +161,10 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                              pa.list_(pa.float32()))]
         return f
 
-    got = map_texts(known.join(F.broadcast(chosen), "_id"), [F.col("_id"), F.col("_lang")],
-                    F.col("_t"), make, "idx array<int>, n array<float>").toPandas()
+    counted = map_texts(known.join(F.broadcast(chosen), "_id"), [F.col("_id"), F.col("_lang")],
+                        F.col("_t"), make, "idx array<int>, n array<float>")
+    # Of an id that repeats, however often, one row teaches.
+    got = counted.groupBy("_id").agg(F.min(F.struct("_lang", "idx", "n")).alias("x")).select("_id", "x.*").toPandas()
     code = {x: i for i, x in enumerate(langs)}
     model = LanguageModel(langs, idf, np.zeros((len(langs), BUCKETS)))
     fit, check = [], []

@@ -201,7 +201,8 @@ def training_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Line features of a bounded sample: the first ``sample_lines`` lines of
     ``sample_docs`` labelled documents at most, in the order of a hash of the id.
     Only ids are sampled before the texts are read; the broadcast side has
-    ``sample_docs`` rows at most."""
+    ``sample_docs`` rows at most.  Of rows with one id, however many, the one
+    with the least features counts."""
     key = docs.select(F.col(id_col).alias("_id"))
     chosen = (labels.select(F.col(id_col).alias("_id"), F.col(quality_col).alias("_q"))
               .dropna().groupBy("_id").agg(F.max("_q").alias("_q"))
@@ -217,8 +218,9 @@ def training_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     picked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
               .join(F.broadcast(chosen), "_id"))
-    got = map_texts(picked, [F.col("_id"), F.col("_q")], F.col("_t"), make,
-                    "x array<double>").toPandas().sort_values("_id", kind="stable")
+    tables = map_texts(picked, [F.col("_id"), F.col("_q")], F.col("_t"), make, "x array<double>")
+    got = (tables.groupBy("_id", "_q").agg(F.min("x").alias("x")).toPandas()
+           .sort_values("_id", kind="stable"))
     return [(np.asarray(x, dtype=float).reshape(-1, width), int(q > 0))
             for x, q in zip(got["x"], got["_q"], strict=True)]
 
@@ -233,8 +235,8 @@ def line_quality(docs: DataFrame, carry: list[Column], text: Column, field: Line
 
     ``kept``: not ``base_failed``, and content lines hold ``content_share`` of
     the words or more.  Without a field every line is content.  A null or empty
-    text has one line without words: base_failed, not kept.  Repeated rows give a
-    row each; nothing is shuffled.
+    text has one line without words: base_failed, not kept.  Very long texts are
+    read whole.  Repeated rows give a row each; nothing is shuffled.
     """
     def make():
         def f(texts):

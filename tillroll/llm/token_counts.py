@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from tillroll.llm.text import int64, map_texts
 
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces whose counts one worker remembers.
+#: Pieces whose counts one worker remembers, and the longest of them in characters: longer
+#: ones (texts without blanks) are forgotten after their slice.
 REMEMBERED = 600_000
+LONGEST = 64
 
 
 def _cuts_are_safe(spec: dict) -> bool:
@@ -90,6 +92,9 @@ class TextLengths:
             if None in counts or rest and (not head or head[-1].isspace()):
                 n, counts = 0, self._at_cuts(t)
             out.append(n + sum(counts))
+        for p in pieces:
+            if len(p) > LONGEST:
+                del known[p]
         return out
 
     def _at_cuts(self, text: str) -> list[int]:
@@ -109,8 +114,10 @@ def token_counts(docs: DataFrame, carry: list[Column], text: Column, vocabulary:
 
     ``vocabulary`` is a file on every machine: tokenizers' ``.json`` or
     sentencepiece's ``.model``.  No special tokens are added; special strings in
-    a text are handled as the library does by default.  Null text counts as
-    empty (0, 0, false); repeated rows give a row each; nothing is shuffled.
+    a text are handled as the library does by default.  Very long texts are read
+    whole; what a worker remembers is bounded in pieces and in their length.  Null
+    text counts as empty (0, 0, false); repeated rows give a row each; nothing is
+    shuffled.
     """
     def make():
         lengths = _lengths(vocabulary)
