@@ -151,6 +151,58 @@ def test_token_counts_of_whole_documents(spark):
     assert token_counts.TextLengths(model)(ODD_TEXTS) == [len(sp.encode(t or "")) for t in ODD_TEXTS]
 
 
+def plain_ftrl(rows, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.02):
+    """Follow the regularised leader, one number at a time."""
+    z, n = {}, {}
+
+    def weight(c, i):
+        zi = z.get((c, i), 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - (l1 if zi > 0 else -l1)) / ((beta + n.get((c, i), 0.0) ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            idx, x, y = rows[at]
+            w = {(c, i): weight(c, i) for c in range(classes) for i in idx.tolist()}
+            score = [sum(w[c, i] * v for i, v in zip(idx.tolist(), x.tolist())) for c in range(classes)]
+            top = max(score)
+            odds = [np.exp(v - top) for v in score]
+            for c in range(classes):
+                for i, v in zip(idx.tolist(), x.tolist()):
+                    g = (odds[c] / sum(odds) - (c == y)) * v
+                    old = n.get((c, i), 0.0)
+                    sigma = ((old + g * g) ** 0.5 - old ** 0.5) / alpha
+                    z[c, i] = z.get((c, i), 0.0) + g - sigma * w[c, i]
+                    n[c, i] = old + g * g
+    return {k: weight(*k) for k in z}
+
+
+def test_training_matches_plain_ftrl():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(40):
+        idx = np.sort(rng.choice(60, 12, replace=False))
+        x = rng.random(12)
+        rows.append((idx, x / np.linalg.norm(x), int(rng.integers(0, 3))))
+    got, want = langid.fit_ftrl(rows, 3), plain_ftrl(rows, 3)
+    assert sum(v == 0 for v in want.values()) > 0 and (got != 0).sum() > 20
+    assert all(got[c, i] == pytest.approx(v, abs=1e-10) for (c, i), v in want.items())
+    assert (got != 0).sum() == sum(v != 0 for v in want.values())
+
+
+def test_temperature_is_the_best_of_its_grid():
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(80, 3))
+    y = np.array([int(rng.choice(3, p=langid.softmax(s / 0.5))) for s in scores])
+    best = langid.fit_temperature(scores, y)
+
+    def loss(t):
+        return -np.log(langid.softmax(scores / t)[np.arange(80), y]).mean()
+
+    assert all(loss(best) <= loss(t) + 1e-12 for t in np.geomspace(0.02, 20, 120))
+
+
 # Ids that repeat, texts without blanks -------------------------------------
 
 def test_of_a_repeated_id_one_row_teaches(spark):
