@@ -35,7 +35,9 @@ COVERS = {
     57: (0, 1, 3, 13, 32, 36, 43, 52),
 }
 REMEMBERED = 500_000
-NO_ID = (1 << 63) - 1
+#: Rows without id are all this one where ids are compared; above it, each text of theirs has
+#: a number of its own, so that no group gathers them all.
+NO_ID = (1 << 63) - 1 - (1 << 40)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -178,24 +180,33 @@ def covered_words(words: list[bytes], fallen: np.ndarray, window: int) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
+def _number(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+
+
+def _compared(c: str) -> Column:
+    return F.least(F.col(c), F.lit(NO_ID))
+
+
 def repeated_passages(docs: DataFrame, doc_id: Column, text: Column, window: int = 50) -> DataFrame:
     """(id, fallen): for each id with a window of ``window`` words that also starts
     in a document with a smaller id, the hashes of these windows."""
     period = period_for(window)
-    keyed = docs.select(F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    keyed = docs.select(_number(doc_id, text).alias("id"), text.alias("text"))
+    ends = F.min(_compared("id")).alias("least"), F.max(_compared("id")).alias("most")
     with borrowed(_anchor_rows(keyed.where("text is not null"), window, period), "anchors") as rows:
-        shared = rows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        shared = rows.groupBy("hash").agg(*ends)
         found = written(
             rows.join(shared.where("least < most"), "hash")
-            .groupBy("id").agg(F.collect_list("hash").alias("shared"),
-                               F.collect_list(F.when(F.col("id") > F.col("least"), F.col("hash"))).alias("late")),
+            .groupBy("id").agg(F.collect_set("hash").alias("shared"),
+                               F.collect_set(F.when(_compared("id") > F.col("least"), F.col("hash"))).alias("late")),
             "shared-anchors")
     around = _window_rows(keyed.where("text is not null").join(found, "id"), window, period)
     with borrowed(around, "windows") as windows:
-        least = windows.groupBy("hash", "check").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        least = windows.groupBy("hash", "check").agg(*ends)
         return written(
             windows.where("later").join(least.where("least < most"), ["hash", "check"])
-            .where("id > least").groupBy("id").agg(F.collect_list("hash").alias("fallen")),
+            .where(_compared("id") > F.col("least")).groupBy("id").agg(F.collect_set("hash").alias("fallen")),
             "repeated-passages")
 
 
@@ -207,12 +218,12 @@ def without_repeats(docs: DataFrame, carry: list[Column], doc_id: Column, text:
     A word goes if a window of ``window`` consecutive words that covers it also
     starts, word for word, in a document with a smaller id; windows are judged on
     the input.  Hashes of 96 bits stand for the words of a window.  Null and empty
-    texts have no words.  A null id counts as larger than any other.  Rows with
-    the same id never remove from each other; repeated rows give a row each.
+    texts have no words.  A null id counts as larger than any other (ids within 2^40
+    of the greatest long count as null).  Rows with the same id, or without one, never
+    remove from each other; repeated rows give a row each.
     """
     fallen = repeated_passages(docs, doc_id, text, window)
-    src = (docs.select(F.struct(*carry).alias("row"), F.coalesce(text, F.lit("")).alias("_t"),
-                       F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("id"))
+    src = (docs.select(F.struct(*carry).alias("row"), F.coalesce(text, F.lit("")).alias("_t"), _number(doc_id, text).alias("id"))
            .join(fallen, "id", "left")
            .select("row", F.coalesce("fallen", F.array().cast("array<long>")).alias("fallen"), "_t"))
     out = T.StructType([src.schema["row"], *T.StructType.fromDDL(
