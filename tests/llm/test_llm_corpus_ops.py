@@ -79,16 +79,6 @@ def test_covers_hold_every_difference():
         assert list(substring_dedup.at_cover(3 * period, period)[:len(cover)]) == list(cover)
 
 
-def test_rows_without_id_are_not_one_group(spark):
-    rows = [(None, " ".join(prose(i, 60))) for i in range(40)] * 3 + [(7, " ".join(prose(5, 60))), (7, " ".join(prose(6, 60)))]
-    found = substring_dedup.repeated_passages(frame(spark, rows), F.col("doc_id"), F.col("text")).collect()
-    # Two texts without id hold what document 7 has; each stands in a group of its own.
-    assert len(found) == 2 and all(r.id > substring_dedup.NO_ID and len(r.fallen) == 11 for r in found)
-    out = substring_dedup.without_repeats(frame(spark, rows), [F.col("doc_id")], F.col("doc_id"), F.col("text")).collect()
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out), key=str)
-    assert got == brute_repeats(rows, 50)
-
-
 def test_no_repeats_in_nothing(spark):
     out = substring_dedup.without_repeats(frame(spark, []), [F.col("doc_id")], F.col("doc_id"), F.col("text"))
     assert out.collect() == []
