@@ -180,6 +180,20 @@ def test_boosting_is_the_same_by_levels_and_in_one_task(spark, monkeypatch):
     assert every[0] == every[1] == every[2]
 
 
+def test_boosting_by_levels_sends_a_row_a_node_to_the_driver(spark, monkeypatch):
+    m, sent = small_matrix(spark), []
+    for name in ("collect", "toArrow", "toPandas"):
+        def counted(self, f=getattr(type(m), name)):
+            out = f(self)
+            sent.append(len(out))
+            return out
+        monkeypatch.setattr(type(m), name, counted)
+    fits = models.fit(models.BOOSTED, m, columns=AB, rounds=2, local_rows=10)
+    assert 0 < sum(sent) <= 2 * 6 * 63 and max(sent) <= 6 * 32
+    monkeypatch.undo()
+    assert fits.all_scores.count() == 240
+
+
 def test_model_table_roundtrip_scores_alike(spark, matrix):
     fits = models.fit(models.BOOSTED, matrix, rounds=6)
     path = models.save_model(fits.table, scratch_path(spark, "test_models", uuid.uuid4().hex))
