@@ -93,6 +93,12 @@ def test_forest_is_the_same_by_levels_and_in_one_task(spark, hot):
     assert scores[0] == scores[1] and len(scores[0]) == 240
 
 
+def test_planned_size_of_a_forest_does_not_multiply_by_level(spark):
+    table = models.fit(models.FOREST, small_matrix(spark), columns=AB, trees=2, local_rows=20).table
+    assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
+    assert table.count() > 50
+
+
 def test_depth_has_no_ceiling():
     # Weights that fall by powers favour cutting off the ends: a deep chain.
     n = 250
