@@ -7,7 +7,7 @@ import pytest
 from tillroll.operators import churn, profile, rfm, sales
 from tillroll.operators.clean import clean_transactions
 from tillroll.operators.ranking import global_rank
-from tillroll.sources.retail import load_retail
+from tillroll.sources.retail import load_retail, tpch_retail_view
 
 
 def plan(df) -> str:
@@ -68,3 +68,18 @@ def test_running_sums_move_the_table_once(spark):
 
 def test_top_products_is_take_ordered(lines):
     assert "TakeOrderedAndProject" in plan(sales.product_performance(lines))
+
+
+def test_lines_move_for_two_keys_only(spark, sf_small):
+    """The customer's country joins the orders, not the lines."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(tpch_retail_view(spark, sf_small)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in shown]
+    moved = [i for i, x in enumerate(shown) if "hashpartitioning(o_custkey" in x]
+    assert moved
+    for i in moved:
+        below = next((k for k in range(i + 1, len(shown)) if depth[k] <= depth[i]), len(shown))
+        assert not any("l_orderkey" in x for x in shown[i:below])
