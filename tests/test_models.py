@@ -99,6 +99,24 @@ def test_planned_size_of_a_forest_does_not_multiply_by_level(spark):
     assert table.count() > 50
 
 
+def test_class_sums_are_a_row_a_node_and_task(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(f), int(t), int(n), int(y), int(w), bytes(b)) for f, t, n, y, w, b in zip(
+        rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.choice([1, -(1 << 62), 1 << 61], 400),
+        rng.integers(0, 2, 400), rng.integers(0, 3, 400), rng.integers(0, 256, (400, 2)).tolist())]
+    df = spark.createDataFrame(rows, "fit int, tree int, node long, label int, weight int, bins binary").repartition(3)
+    found = forest._class_sums(df, 2).collect()
+    want = {}
+    for f, t, n, y, w, b in rows:
+        if w:
+            sums = want.setdefault((f, t, n), np.zeros((2, 2, 256), np.int64))
+            sums[:, [0, 1], list(b)] += np.array([[w], [w * y]])
+    assert len(want) <= len(found) <= 3 * len(want)
+    got = {k: sum(np.frombuffer(r.weight + r.positive, np.int64) for r in found if (r.fit, r.tree, r.node) == k)
+           for k in want}
+    assert all((got[k].reshape(2, 2, 256) == want[k]).all() for k in want)
+
+
 def test_depth_has_no_ceiling():
     # Weights that fall by powers favour cutting off the ends: a deep chain.
     n = 250
