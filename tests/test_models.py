@@ -218,6 +218,14 @@ def test_boosting_by_levels_sends_a_row_a_node_to_the_driver(spark, monkeypatch)
     assert fits.all_scores.count() == 240
 
 
+def test_boosting_by_levels_counts_rows_once(spark, monkeypatch):
+    m, counted, plain = small_matrix(spark), [], type(spark.range(1)).count
+    monkeypatch.setattr(type(m), "count", lambda self: counted.append(1) or plain(self))
+    fits = models.fit(models.BOOSTED, m, columns=AB, rounds=3, local_rows=10)
+    assert len(counted) == 1
+    assert plain(fits.all_scores) == 240
+
+
 def test_model_table_roundtrip_scores_alike(spark, matrix):
     fits = models.fit(models.BOOSTED, matrix, rounds=6)
     path = models.save_model(fits.table, scratch_path(spark, "test_models", uuid.uuid4().hex))
