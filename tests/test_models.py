@@ -264,6 +264,27 @@ def test_logistic_is_at_its_minimum(spark, matrix):
         assert np.abs(gradient).max() < 1e-6
 
 
+def test_newton_step_reads_a_row_once_for_all_fits(spark, monkeypatch):
+    read = []
+    plain = logistic.fit_logistic
+    monkeypatch.setattr(logistic, "fit_logistic", lambda rows, *a: read.append(rows.count()) or plain(rows, *a))
+    models.fit(models.LOGISTIC, small_matrix(spark), columns=AB, steps=2)
+    assert read == [240]
+
+
+def test_newton_sums_match_rows_one_by_one():
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(size=(30, 3)), rng.normal(size=(2, 3))
+    y, train = rng.integers(0, 2, 30), rng.random((30, 2)) < 0.5
+    found = logistic.newton_sums(x, y, train, w)
+    for k in range(2):
+        want = np.zeros((3, 4))
+        for i in np.flatnonzero(train[:, k]):
+            p = 1 / (1 + math.exp(-sum(x[i] * w[k])))
+            want += np.column_stack([np.outer(x[i], x[i]) * p * (1 - p), x[i] * (p - y[i])])
+        assert found[k] == pytest.approx(want)
+
+
 def test_constant_columns_and_one_step(spark):
     m = small_matrix(spark).withColumn("c", F.lit(4.0))
     fits = models.fit(models.LOGISTIC, m, columns=["a", "c"], steps=1)
