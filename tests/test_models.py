@@ -117,6 +117,36 @@ def test_class_sums_are_a_row_a_node_and_task(spark):
     assert all((got[k].reshape(2, 2, 256) == want[k]).all() for k in want)
 
 
+def test_features_after_those_tried_are_not_counted(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, nodes, plain = 400, [], forest.best_cut
+    bins, label = rng.integers(0, 256, (n, 10)).astype(np.uint8), rng.integers(0, 2, n)
+    bins[:, 0] = 7  # splits no node, so that a node which meets it looks at one more
+
+    def counted(slot, bin_, weight, positive, count):
+        nodes.append(count)
+        return plain(slot, bin_, weight, positive, count)
+
+    monkeypatch.setattr(forest, "best_cut", counted)
+    first = forest.priority(np.array([1]), 0, 7, 10)[0].tolist()
+    forest.grow(1, 0, np.arange(n), label, np.ones(n, np.int64), bins, tried=3, seed=7)
+    looked = 4 if 0 in first[:3] else 3
+    assert nodes[:looked] == [1] * looked and nodes[looked] == 2
+
+
+def test_cells_are_summed_alike_however_many_they_are():
+    rng = np.random.default_rng(8)
+    key, weight, label = rng.integers(0, 60, 300), rng.integers(1, 5, 300).astype(float), rng.integers(0, 2, 300)
+    want = {}
+    for k, w, y in zip(key.tolist(), weight, label):
+        total, positive = want.get(k, (0, 0))
+        want[k] = total + w, positive + w * y
+    for size in (60, 1 << 40):  # the second is far more than an array could hold
+        cell, total, positive = forest._cells(key, weight, label, size)
+        assert cell.tolist() == sorted(want)
+        assert dict(zip(cell.tolist(), zip(total, positive))) == want
+
+
 def test_depth_has_no_ceiling():
     # Weights that fall by powers favour cutting off the ends: a deep chain.
     n = 250
@@ -218,6 +248,31 @@ def test_boosting_by_levels_sends_a_row_a_node_to_the_driver(spark, monkeypatch)
     assert fits.all_scores.count() == 240
 
 
+def test_a_task_chooses_the_splits_of_many_nodes(spark, monkeypatch):
+    m, tasks, plain = small_matrix(spark), [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(m), "repartition", lambda self, n, *by: (
+        all(isinstance(x, str) for x in by) and by == ("fit", "node") and tasks.append(n)) or plain(self, n, *by))
+    models.fit(models.BOOSTED, m, columns=AB, rounds=1, local_rows=10, partitions=200)
+    assert tasks[0] == 1 and max(tasks) <= 12
+
+
+@pytest.mark.parametrize("layout", ["C", "F"])
+def test_rows_find_their_nodes(layout):
+    rng = np.random.default_rng(6)
+    bins = np.array(rng.integers(0, 256, (200, 3)), np.uint8, order=layout)
+    tree = boosting.Trees.empty(2, 3)
+    tree.feature[1] = [2, -1, 0, -2, -2, 1, -1, -2, -2, -2, -2, -1, -1, -2, -2]
+    tree.cut[1] = rng.integers(60, 200, 15)
+    tree.level = 3
+    want = []
+    for row in bins.tolist():
+        at = 0
+        while tree.feature[1, at] >= 0:
+            at = 2 * at + 1 + (row[tree.feature[1, at]] > tree.cut[1, at])
+        want.append(at)
+    assert tree.nodes_of(1, bins).tolist() == want and set(want) == {1, 6, 11, 12}
+
+
 def test_boosting_by_levels_counts_rows_once(spark, monkeypatch):
     m, counted, plain = small_matrix(spark), [], type(spark.range(1)).count
     monkeypatch.setattr(type(m), "count", lambda self: counted.append(1) or plain(self))
