@@ -5,6 +5,7 @@ import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,29 @@ def test_forest_is_the_same_by_levels_and_in_one_task(spark, hot):
     assert scores[0] == scores[1] and len(scores[0]) == 240
 
 
+def test_rows_are_dealt_once_for_several_trees(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, i, int(y), bytes(b), (i + f) % 5 > 0) for f in (0, 1) for i, (y, b) in enumerate(
+        zip(rng.integers(0, 2, 90), rng.integers(0, 9, (90, 3)).tolist()))]
+    df = spark.createDataFrame(rows, "fit int, id long, label int, bins binary, is_train boolean").repartition(3)
+    trees = 2 * forest.TASK_TREES + 2
+    nodes, leaves = forest.grow_forests(df, trees, 3, 1, 7, node_fits=[0])
+    by_level, one_by_one = forest.grow_forests(df, trees, 3, 1, 7, local_rows=20)
+    assert leaves.count() == 3 * 36 and one_by_one.count() == trees * 36
+    assert rows_of(nodes) == rows_of(by_level.where("fit = 0"))
+    assert {r.tree for r in nodes.select("tree").distinct().collect()} == set(range(trees))
+    assert rows_of(forest.forest_probability(leaves, trees)) == rows_of(forest.forest_probability(one_by_one, trees))
+
+
+def test_bytes_of_rows_are_read_in_place():
+    want = np.random.default_rng(9).integers(0, 256, (50, 4)).astype(np.uint8)
+    column = pa.chunked_array([[bytes(x) for x in want[:20].tolist()], pa.array([], pa.binary()),
+                               [bytes(x) for x in want[15:].tolist()]], pa.binary())
+    column = pa.chunked_array([column.chunk(0), column.chunk(1), column.chunk(2).slice(5)])
+    assert (forest.byte_rows(column) == want).all()
+    assert (forest.byte_rows(pa.chunked_array([column.chunk(2)])) == want[20:]).all()
+
+
 def test_planned_size_of_a_forest_does_not_multiply_by_level(spark):
     table = models.fit(models.FOREST, small_matrix(spark), columns=AB, trees=2, local_rows=20).table
     assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
