@@ -297,6 +297,28 @@ def test_rows_find_their_nodes(layout):
     assert tree.nodes_of(1, bins).tolist() == want and set(want) == {1, 6, 11, 12}
 
 
+def test_rows_go_down_a_level():
+    rng = np.random.default_rng(7)
+    bins = np.array(rng.integers(0, 256, (200, 3)), np.uint8, order="F")
+    tree, at = boosting.Trees.empty(1, 3), np.zeros(200, np.int64)
+    splits = ([0], 2, 100), ([1, 2], 0, 90), ([4, 5], 1, 150)
+    for nodes, feature, cut in splits:
+        tree.feature[0, nodes], tree.cut[0, nodes] = feature, cut
+        tree.level += 1
+        at = tree.next_of(0, bins, at)
+        assert at.tolist() == tree.nodes_of(0, bins).tolist()
+    assert set(at.tolist()) == {3, 9, 10, 11, 12, 6}
+
+
+def test_rows_that_a_task_can_hold_need_no_job_a_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_boost_by_levels", lambda *a: pytest.fail("a job a level"))
+    rows = spark.range(150_000).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), F.expr(
+        "unhex(lpad(hex(id % 251), 2, '0'))").alias("bins"), F.lit(b"\x01\x01").alias("train"))
+    nodes, every = boosting.boost(rows, 2, 1, 8, boosting.BoostParams(rounds=2, depth=2))
+    assert {(r.fit, r.tree) for r in nodes.collect()} == {(f, t) for f in (0, 1) for t in (0, 1)}
+    assert every.count() == 300_000
+
+
 def test_boosting_by_levels_counts_rows_once(spark, monkeypatch):
     m, counted, plain = small_matrix(spark), [], type(spark.range(1)).count
     monkeypatch.setattr(type(m), "count", lambda self: counted.append(1) or plain(self))
