@@ -419,3 +419,26 @@ def test_short_items_are_reported_and_remove_nothing(spark):
     blocks = decontaminate.benchmark_blocks(same, F.col("item_id"), F.col("text"), 1000)
     sizes = [b.count() for b in blocks]
     assert len(blocks) > 5 and sum(sizes) == 50 and max(sizes) < 20
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicates_broadcast_no_table_of_the_rows(spark, monkeypatch):
+    """70 keys a fingerprint were counted as large as the fingerprints and sent to the driver."""
+    plans = []
+
+    def seen(df, name, real=simhash.written):
+        plans.append(plan_of(df))
+        return real(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "written", seen)
+    docs = frame(spark, [(i, " ".join(prose(i % 7, 40)), "en", "web") for i in range(12)])
+    plans.append(plan_of(simhash.near_duplicates(docs, F.col("doc_id"), F.col("text"))))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(7))
+    plans.append(plan_of(kept))
+    assert any("Generate explode" in p and "SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.text import written
+from tillroll.llm.text import merged, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node points its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return (both.join(least, "a").where("b > a")
+    return (both.join(merged(least), "a").where("b > a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
 
 
@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Each node points its smaller neighbours and itself to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(merged(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 

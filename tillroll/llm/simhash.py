@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
-from tillroll.llm.text import map_texts, written
+from tillroll.llm.text import map_texts, merged, written
 
 CHUNK = 1 << 15
 
@@ -135,7 +135,7 @@ def links(fps: DataFrame, max_bits: int = 4, list_size: int = 4096) -> DataFrame
     matches = 8 - max_bits
     keys = fps.select("fp", F.explode(posting_keys(F.col("fp"), matches)).alias("key"))
     size = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(size, "key").select("key", "n", "fp"), "postings")
+    members = written(keys.join(merged(size), "key").select("key", "n", "fp"), "postings")
     lists = (members.where(F.col("n") <= list_size).groupBy("key")
              .agg(F.collect_list("fp").alias("fps")).select("fps"))
     found = _links_in_lists(lists, matches, max_bits)
@@ -159,12 +159,12 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, shingle: int
     table = written(fingerprints(docs, [doc_id.alias("doc_id"), *carry], text, shingle, seed), "fingerprints")
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     part = components(links(distinct.select("fp"), max_bits))
-    labelled = (distinct.join(part.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
+    labelled = (distinct.join(merged(part.select(F.col("a").alias("fp"), F.col("b").alias("root"))), "fp", "left")
                 .withColumn("root", F.coalesce("root", "fp")))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    named = labelled.join(merged(least), "root").select("fp", "component_id", F.col("root").alias("component"))
     extra = [c for c in table.columns if c not in ("doc_id", "fp")]
-    return table.join(named, "fp").select("doc_id", "fp", "component_id", "component", *extra)
+    return table.join(merged(named), "fp").select("doc_id", "fp", "component_id", "component", *extra)
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, max_bits: int = 4,
@@ -179,7 +179,8 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, m
     least = written(near.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
                     .groupBy("component").agg(F.min(first).alias("least")).select("least.*"), "least")
     keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), of_text.alias("_text"))
-    stay = keyed.join(least, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("text_hash")), "left_semi")
+    stay = keyed.join(merged(least), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("text_hash")),
+                      "left_semi")
     if not least.where("rows > 1").isEmpty():
         stay = stay.groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return stay.select("_row.*")
