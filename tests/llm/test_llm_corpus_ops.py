@@ -442,3 +442,18 @@ def test_near_duplicates_broadcast_no_table_of_the_rows(spark, monkeypatch):
     plans.append(plan_of(kept))
     assert any("Generate explode" in p and "SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_mix_broadcasts_no_table_of_the_rows(spark, monkeypatch):
+    """The ranked rows and the copies of each row were small enough by the planner's count."""
+    plans = []
+
+    def seen(df, name, real=mixing.written):
+        plans.append(plan_of(df))
+        return real(df, name)
+
+    monkeypatch.setattr(mixing, "written", seen)
+    docs = frame(spark, [(i, " ".join(prose(i, 9)), "en", f"s{i % 3}") for i in range(9)])
+    plans.append(plan_of(corpus_pipeline.source_mix(spark, docs, SF)))
+    assert not [p for p in plans if "BuildLeft" in p]
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]

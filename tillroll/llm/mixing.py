@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.text import written
+from tillroll.llm.text import merged, written
 from tillroll.operators.ranking import global_rank
 
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,8 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, size: Column,
     place = F.col("_k") - F.col("_first")
     shift = offset_of(F.col("source"), seed)
     crossed = F.floor((place + 1) * each + shift) - F.floor(place * each + shift)
-    return (ranked.join(of_source, F.col("source").eqNullSafe(F.col("_s")))
+    # Every row has its source; a left join never broadcasts the rows, a merge would bring those of a source together.
+    return (ranked.join(of_source, F.col("source").eqNullSafe(F.col("_s")), "left")
             .select("doc_id", "size", "source", "source_size", "target",
                     crossed.cast("long").alias("copies"))
             .withColumn("taken", F.col("size") * F.col("copies")))
@@ -107,5 +108,5 @@ def mixed(docs: DataFrame, id_col: str, source_col: str, size: Column, **how) ->
         *[F.col(k).alias(f"t{k}") for k in [*key, "_turn"]], "copies")
     same = [keyed[k].eqNullSafe(taken[f"t{k}"]) for k in [*key, "_turn"]]
     emitted = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return keyed.join(taken, same).select(
+    return keyed.join(merged(taken), same).select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c != "copy"], emitted.alias("copy"))
