@@ -191,6 +191,47 @@ def test_draws_are_poisson(spark):
     assert d[0] == pytest.approx(1, abs=0.03) and d[1] == pytest.approx(1, abs=0.05) and d[2] >= 5
 
 
+def test_tasks_draw_as_spark_does(spark):
+    ids = np.array([0, 1, -5, 1 << 40, -(1 << 63), (1 << 63) - 1, *range(100, 400)], np.int64)
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    for tree, seed in ((0, 42), (99, 7), (3, -1)):
+        want = {r.id: r.w for r in df.select("id", forest.poisson_draw("id", F.lit(tree), seed).alias("w")).collect()}
+        assert dict(zip(ids.tolist(), forest.draws(forest.hashed_ids(ids), tree, seed).tolist())) == want
+
+
+def test_a_tree_is_the_same_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 700
+    bins, label = rng.integers(0, 20, (n, 4)).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint8)
+    bins[:, 1] = 3  # splits no node
+    train = rng.random(n) < 0.8
+    weight = np.where(train, rng.integers(0, 4, n), 0).astype(np.uint8)
+
+    def rows():
+        parts = list(forest.grow_tree(2, label, weight, train, bins, 2, 9))
+        return len(parts), sorted(zip(*[np.concatenate([x[c] for x in parts]).tolist() for c in parts[0]]))
+
+    whole = rows()
+    monkeypatch.setattr(forest, "SUBTREE_ROWS", 60)
+    monkeypatch.setattr(forest, "SUM_ROWS", 50)
+    parts = rows()
+    assert whole[0] == 1 and parts[0] > 10 and parts[1] == whole[1]
+    assert {r[7] for r in whole[1] if r[1] == -2} == set(np.flatnonzero(~train).tolist())
+
+
+def test_fits_of_six_gigabytes_grow_without_a_table_of_rows_by_tree(spark, monkeypatch):
+    """5.4 million customers grew by levels: every row written for every tree at every level."""
+    made = []
+    monkeypatch.setattr(forest, "written", lambda df: made.append(df) or df)
+    rows = spark.createDataFrame([(0, 1, 1, b"\x01", True), (0, 2, 0, b"\x02", False)],
+                                 "fit int, id long, label int, bins binary, is_train boolean")
+    sizes = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2_700_000)))).drop("copy")
+    forest.grow_forests(sizes, 100, 1, 1, 7)
+    assert len(made) == 1
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("MapInArrow")  # blocks are dealt, not rows
+
+
 def test_forest_scores_by_joins(spark):
     m = small_matrix(spark)
     fits = models.fit(models.FOREST, m, columns=AB, trees=8)
